@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ratings import BEST, WORST, rating_ordinal
 from ..operators.hot_deck import NUMERIC_PLACEHOLDERS, TEXT_PLACEHOLDERS, filled_cells, hot_deck
+from ..operators.implausible import Rules, implausible
 from ..operators.known_at import known_at
 from ..operators.regular_grid import to_quarter_grid
 from ..session import load
@@ -30,6 +32,30 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_known(spark, d).select("panel_id", "fact_id")
 
 
+#: A price is positive; a quoted yield lies within these percentages; both are judged by moves.
+PRICE_RULES = Rules(lowest=1e-9)
+YIELD_RULES = Rules(lowest=-50.0, highest=500.0)
+#: Ordinals move by a few notches; a departure counts in notches.
+RATING_RULES = Rules(lowest=BEST, highest=WORST, window=4, cut_least=4.6, cut_most=4.9, by_moves=False)
+
+
+def p5_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """Every unbelievable price, yield or rating number, with the reason."""
+    daily, panel = load(spark, d, "market_daily"), load(spark, d, "rating_panel")
+    prices = implausible(daily, ["ric"], "date", "mid_price", "row_id", PRICE_RULES).select(F.lit("mid_price").alias("field_name"), "row_id", "reason")
+    yields = implausible(daily, ["ric"], "date", "yldtomat", "row_id", YIELD_RULES).select(F.lit("yldtomat").alias("field_name"), "row_id", "reason")
+    rated = panel.select("country", "agency", "date", "rating_numeric", "rating_id", rating_ordinal(F.col("rating")).alias("letters"))
+    ratings = implausible(rated, ["country", "agency"], "date", "rating_numeric", "rating_id", RATING_RULES, "letters")
+    market = prices.unionByName(yields).select(F.lit("market_daily").alias("table_name"), "field_name", F.col("row_id").alias("row_key"), "reason")
+    return market.unionByName(
+        ratings.select(F.lit("rating_panel").alias("table_name"), F.lit("rating_numeric").alias("field_name"), F.col("rating_id").alias("row_key"), "reason")
+    )
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_reasons(spark, d).select("table_name", "row_key").distinct()
+
+
 def p7_filled(spark: SparkSession, d: str) -> DataFrame:
     """The panel with its four fields filled by hot-deck, and the marks."""
     return hot_deck(load(spark, d, "feature_panel"))
@@ -39,7 +65,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return filled_cells(p7_filled(spark, d))
 
 
-QUERIES = {"p2_grid": p2_grid, "p2_found": p2_found, "p4_known": p4_known, "p4_found": p4_found, "p7_filled": p7_filled, "p7_found": p7_found}
+QUERIES = {"p2_grid": p2_grid, "p2_found": p2_found, "p4_known": p4_known, "p4_found": p4_found, "p5_reasons": p5_reasons, "p5_found": p5_found, "p7_filled": p7_filled, "p7_found": p7_found}
 
 _P2 = """
 WITH r AS (SELECT ric, date, mid_price, row_id, year(date) * 4 + quarter(date) - 1 AS q FROM market_daily
