@@ -9,6 +9,7 @@ from ..session import load
 from .survivor import NO_STATEMENT, survivors
 from .tokens import encode
 from .topn import latest_scored, top_n
+from .truncated import rates, truncated
 
 
 def p3_survivors(spark: SparkSession, d: str) -> DataFrame:
@@ -34,7 +35,21 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode(load(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p3_survivors": p3_survivors, "p3_found": p3_found, "p6_top": p6_top, "p6_found": p6_found, "p8_ids": p8_ids}
+def p10_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with the reason why it counts as cut, or NULL."""
+    return truncated(load(spark, d, "documents"), "doc_id", "source", "text")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_rows(spark, d).filter("reason IS NOT NULL").select("doc_id")
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    """The share of cut texts per source."""
+    return rates(p10_rows(spark, d))
+
+
+QUERIES = {"p3_survivors": p3_survivors, "p3_found": p3_found, "p6_top": p6_top, "p6_found": p6_found, "p8_ids": p8_ids, "p10_rows": p10_rows, "p10_found": p10_found, "p10_rates": p10_rates}
 
 _MARKS = ", ".join(f"'{m}'" for m in NO_STATEMENT)
 _P3 = f"""
