@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import load
+from ..session import cut_lineage, load
+from .packing import fills, pack
 from .survivor import NO_STATEMENT, survivors
-from .tokens import encode
+from .tokens import encode, token_counts
 from .topn import latest_scored, top_n
 from .truncated import rates, truncated
 
@@ -35,6 +36,23 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode(load(spark, d, "documents"), "doc_id", "text")
 
 
+def p9_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Every document in a container of every capacity, sized by the tokenizer that the capacity names."""
+    docs, caps = load(spark, d, "documents"), load(spark, d, "pack_capacity")
+    n = docs.count()  # footers only
+    out = None
+    for (name,) in caps.select("tokenizer").distinct().orderBy("tokenizer").collect():  # a few parameters, not data
+        sizes = cut_lineage(token_counts(docs, "doc_id", "text", name))  # two small columns; the texts are encoded once
+        packed = pack(sizes, "doc_id", "n_tokens", caps.filter(F.col("tokenizer") == name), n_rows=n)
+        out = packed if out is None else out.unionByName(packed)
+    return out
+
+
+def p9_fills(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers of every capacity are."""
+    return fills(p9_containers(spark, d), load(spark, d, "pack_capacity"))
+
+
 def p10_rows(spark: SparkSession, d: str) -> DataFrame:
     """Every document with the reason why it counts as cut, or NULL."""
     return truncated(load(spark, d, "documents"), "doc_id", "source", "text")
@@ -49,7 +67,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return rates(p10_rows(spark, d))
 
 
-QUERIES = {"p3_survivors": p3_survivors, "p3_found": p3_found, "p6_top": p6_top, "p6_found": p6_found, "p8_ids": p8_ids, "p10_rows": p10_rows, "p10_found": p10_found, "p10_rates": p10_rates}
+QUERIES = {"p3_survivors": p3_survivors, "p3_found": p3_found, "p6_top": p6_top, "p6_found": p6_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fills": p9_fills, "p10_rows": p10_rows, "p10_found": p10_found, "p10_rates": p10_rates}
 
 _MARKS = ", ".join(f"'{m}'" for m in NO_STATEMENT)
 _P3 = f"""
