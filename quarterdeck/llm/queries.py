@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, load
+from .clusters import cluster, debt_and_spread, describe
 from .packing import fills, pack
 from .survivor import NO_STATEMENT, survivors
 from .tokens import encode, token_counts
@@ -13,6 +14,28 @@ from .topn import latest_scored, top_n
 from .truncated import rates, truncated
 
 
+def p1_members(spark: SparkSession, d: str) -> DataFrame:
+    """Every panel row that belongs to a group of like debt and spread."""
+    rows, x, y = debt_and_spread(load(spark, d, "feature_panel").select("panel_id", "debt_gdp", "yield_spread_bps"))
+    return cluster(rows, "panel_id", x, y)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_members(spark, d).select("panel_id", "cluster_id")
+
+
+def p1_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Every group with its size, centre and most typical rows."""
+    return describe(p1_members(spark, d), "panel_id")
+
+
+def p1_compare(spark: SparkSession, d: str) -> DataFrame:
+    """The number of groups beside the numbers that earlier trials found."""
+    found = p1_clusters(spark, d).agg(F.count(F.lit(1)).cast("int").alias("n_groups"))
+    trials = load(spark, d, "stage1_algorithm_comparison").select("tier", "algorithm", "k_or_mcs", "n_clusters_found")
+    return trials.crossJoin(F.broadcast(found)).withColumn("difference", F.col("n_groups") - F.col("n_clusters_found"))  # one row of counts
+
+
 def p3_survivors(spark: SparkSession, d: str) -> DataFrame:
     """One surviving record per noted action, its values, and the rows they come from."""
     return survivors(load(spark, d, "rating_raw"), load(spark, d, "source_trust"))
@@ -67,7 +90,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return rates(p10_rows(spark, d))
 
 
-QUERIES = {"p3_survivors": p3_survivors, "p3_found": p3_found, "p6_top": p6_top, "p6_found": p6_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fills": p9_fills, "p10_rows": p10_rows, "p10_found": p10_found, "p10_rates": p10_rates}
+QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p1_compare": p1_compare, "p3_survivors": p3_survivors, "p3_found": p3_found, "p6_top": p6_top, "p6_found": p6_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fills": p9_fills, "p10_rows": p10_rows, "p10_found": p10_found, "p10_rates": p10_rates}
 
 _MARKS = ", ".join(f"'{m}'" for m in NO_STATEMENT)
 _P3 = f"""
