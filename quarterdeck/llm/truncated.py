@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 #: A shape must occur complete that often inside texts to be an ending.
 SHAPE_SUPPORT = 5
 #: Cuts of one source at one length that make the length a limit, and their least share of that length's texts.
@@ -200,7 +202,9 @@ def truncated(df: DataFrame, row_id: str, source: str, text: str) -> DataFrame:
     kind = df.schema[row_id].dataType.simpleString()
     rows = df.select(F.col(row_id).alias("id"), F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("text"))
     ends = rows.mapInArrow(_ends, f"id {kind}, source string, verdict string, token string, shape string, n_chars bigint, n_bytes bigint")
+    ends = cut_lineage(ends)  # texts are read once per pass; what follows reads the small summaries
     inner = rows.select("text").mapInArrow(_inner, "kind string, item string, n bigint").groupBy("kind", "item").agg(F.sum("n").alias("n"))
+    inner = cut_lineage(inner)
 
     words = inner.filter("kind = 'w'").select("item")
     tokens = ends.filter("verdict IN ('prose', 'bare', 'shape') AND token <> ''").select(F.col("token").alias("item")).distinct()
