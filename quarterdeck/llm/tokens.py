@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 TOKENIZER_DIR = "/opt/tokenizers"
 
 # Unicode White_Space, and the pattern that splits text before the merges.
-WHITE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
+WHITE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 _WHITE_CHARS = frozenset(chr(c) for c in [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
