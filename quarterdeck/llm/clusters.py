@@ -104,7 +104,8 @@ def dense_leaves(n: np.ndarray, xy: np.ndarray, side: float, shape: Shape) -> np
     """Which leaves lie in dense regions.
 
     The background's density is what the leaves outside dense regions hold on the area outside; a leaf is
-    dense if its neighbourhood holds more than six standard deviations (and three records) beyond that.
+    dense if its neighbourhood holds more than six standard deviations (and three records) beyond that.  Copies make the
+    background lumpy: its records count as arriving in lumps of the size that the leaves' second moment shows.
     """
     if not len(n):
         return np.zeros(0, bool)
@@ -118,14 +119,14 @@ def dense_leaves(n: np.ndarray, xy: np.ndarray, side: float, shape: Shape) -> np
         low.append(xy[order[np.searchsorted(w, 0.001), k], k])
         high.append(xy[order[min(np.searchsorted(w, 0.999), len(n) - 1), k], k])
     area = max(float(np.prod(np.maximum(np.array(high) - np.array(low), side))), side * side)
-    rate, dense = n.sum() / area, np.zeros(len(n), bool)
+    rate, lump, dense = n.sum() / area, 1.0, np.zeros(len(n), bool)
     for _ in range(20):
-        bar = rate * disc + 6 * np.sqrt(rate * disc) + 3
-        now = count >= bar
-        rate_now = n[~now].sum() / max(area - now.sum() * side * side, 0.05 * area)
+        now = count >= rate * disc + 6 * np.sqrt(rate * disc * lump) + 3 * lump
         if (now == dense).all():
             break
-        dense, rate = now, rate_now
+        out = n[~now].astype(float)
+        dense, rate = now, out.sum() / max(area - now.sum() * side * side, 0.05 * area)
+        lump = max(1.0, (out**2).sum() / out.sum() - rate * side * side) if len(out) else 1.0
     return dense
 
 
