@@ -47,18 +47,20 @@ def o111_outlooks(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "rating_raw").groupBy("outlook").agg(F.count(F.lit(1)).alias("n")).select("outlook", o.base_direction(c).alias("base"), o.normal_outlook(c).alias("normal"), o.on_watch(c).alias("watched"), "n")
 
 
-_PAIR_SQL = """WITH x AS (SELECT DISTINCT outlook FROM rating_raw), n AS (SELECT outlook, CASE WHEN upper(trim(outlook)) <> 'NR' THEN nullif(trim(outlook), '') END AS v FROM x),
-k AS (SELECT *, lower(v) AS l, coalesce(contains(lower(v), 'watch') OR contains(lower(v), 'review'), false) AS w, trim(regexp_replace(regexp_replace(lower(v), '\\b(under\\s+review|watch|review)\\b', '', 'gi'), '\\s+', ' ', 'g')) AS b FROM n)
-SELECT a.outlook AS first, c.outlook AS second, coalesce(a.l IS NULL OR c.l IS NULL OR a.l = c.l OR (a.w AND c.w) OR (a.b <> '' AND a.b = c.b), true) AS agree, CASE WHEN c.w AND NOT a.w THEN c.v ELSE coalesce(a.v, c.v) END AS preferred FROM k a CROSS JOIN k c"""
+_NEXT_SQL = """WITH x AS (SELECT raw_id, outlook, lag(outlook) OVER (PARTITION BY country, agency ORDER BY date, raw_id) AS before FROM rawlog),
+n AS (SELECT *, CASE WHEN upper(trim(outlook)) <> 'NR' THEN nullif(trim(outlook), '') END AS v, CASE WHEN upper(trim(before)) <> 'NR' THEN nullif(trim(before), '') END AS u FROM x),
+k AS (SELECT *, coalesce(contains(lower(v), 'watch') OR contains(lower(v), 'review'), false) AS wv, coalesce(contains(lower(u), 'watch') OR contains(lower(u), 'review'), false) AS wu,
+trim(regexp_replace(regexp_replace(lower(v), '\\b(under\\s+review|watch|review)\\b', '', 'gi'), '\\s+', ' ', 'g')) AS bv, trim(regexp_replace(regexp_replace(lower(u), '\\b(under\\s+review|watch|review)\\b', '', 'gi'), '\\s+', ' ', 'g')) AS bu FROM n)
+SELECT raw_id, before AS first, outlook AS second, coalesce(u IS NULL OR v IS NULL OR lower(u) = lower(v) OR (wu AND wv) OR (bu <> '' AND bu = bv), true) AS agree, CASE WHEN wv AND NOT wu THEN v ELSE coalesce(u, v) END AS preferred FROM k"""
 
 
-@query(_PAIR_SQL)
+@query(_NEXT_SQL, "rawlog")
 def o113_outlook_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """O-113, O-114: agreement and preference of every pair of spellings (a handful of distinct outlooks)."""
-    x = load(spark, d, "rating_raw").select("outlook").distinct()
-    pairs = x.select(F.col("outlook").alias("first")).crossJoin(F.broadcast(x.select(F.col("outlook").alias("second"))))
+    """O-113, O-114: agreement and preference of every outlook with the one noted before it."""
+    w = Window.partitionBy(*KEYS).orderBy("date", "raw_id")
+    pairs = raw_log(spark, d).select("raw_id", F.lag("outlook").over(w).alias("first"), F.col("outlook").alias("second"))
     a, b = F.col("first"), F.col("second")
-    return pairs.select("first", "second", o.outlooks_agree(a, b).alias("agree"), o.preferred_outlook(a, b).alias("preferred"))
+    return pairs.select("raw_id", "first", "second", o.outlooks_agree(a, b).alias("agree"), o.preferred_outlook(a, b).alias("preferred"))
 
 
 @query(f"SELECT r.rating_id, r.rating, m.ordinal AS ordinal, r.rating_numeric, replace(r.country, '_', ' ') AS country_name FROM rating_panel r LEFT JOIN {_MAP} ON m.letters = trim(r.rating)")
@@ -78,13 +80,13 @@ def o088_forward_fill(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH x AS (SELECT *, nullif(trim(outlook), '') AS o FROM ratings), y AS (SELECT *, lag(rating_numeric) OVER ({_W}) AS p, row_number() OVER ({_W}) AS n, last_value(o IGNORE NULLS) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS po FROM x)
-    SELECT rating_id, CASE WHEN nullif(trim(action), '') IS NOT NULL AND rating_id % 2 = 0 THEN trim(action) WHEN n = 1 OR p IS NULL THEN 'initial' WHEN rating_numeric < p THEN 'upgrade' WHEN rating_numeric > p THEN 'downgrade'
+    SELECT rating_id, CASE WHEN nullif(trim(action), '') IS NOT NULL AND contains(source, 'confirmed by') THEN trim(action) WHEN n = 1 OR p IS NULL THEN 'initial' WHEN rating_numeric < p THEN 'upgrade' WHEN rating_numeric > p THEN 'downgrade'
     WHEN o IS NOT NULL AND po IS NOT NULL AND o <> po THEN 'outlook_change' ELSE 'affirm' END AS inferred_action FROM y""",
     "ratings",
 )
 def o085_infer_actions(spark: SparkSession, d: str) -> DataFrame:
-    """O-85: actions inferred where blank (the rows of odd ids are blanked here), explicit ones kept."""
-    t = ratings(spark, d).withColumn("action", F.when(F.col("rating_id") % 2 == 0, F.col("action")))
+    """O-85: explicit actions kept where two sources confirm them, all others inferred."""
+    t = ratings(spark, d).withColumn("action", F.when(F.col("source").contains("confirmed by"), F.col("action")))
     return ra.infer_actions(t, KEYS, ORDER).select("rating_id", "inferred_action")
 
 
@@ -172,15 +174,15 @@ def o058_reconcile(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def o059_resolved_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    """O-59: conflicts with the first matching adjudication (those of even ids are adjudicated here)."""
+    """O-59: conflicts with the first matching adjudication (where the second source is the later one, it is chosen)."""
     log = load(spark, d, "rating_raw").select("raw_id", "date")
     c = cut_lineage(_pairs(spark, d)).filter("status = 'conflict'").select("country", "agency", "month", "p_id", "s_id")
     c = c.join(log.select(F.col("raw_id").alias("p_id"), F.col("date").alias("p_date")), "p_id").join(log.select(F.col("raw_id").alias("s_id"), F.col("date").alias("s_date")), "s_id")
-    rules = c.filter("p_id % 2 = 0").select("agency", "p_date", "s_date", F.lit("ce ").alias("chosen_source"), F.lit("adjudicated").alias("note"), F.col("p_id").alias("entry"))
+    rules = c.filter("s_date > p_date").select("agency", "p_date", "s_date", F.lit("ce ").alias("chosen_source"), F.lit("adjudicated").alias("note"), F.col("p_id").alias("entry"))
     return ra.resolve(c, rules)
 
 
-_CORR = "SELECT DISTINCT agency, date, trim(rating) AS wrong_rating, 'BBB' AS corrected_rating FROM rawlog WHERE raw_id % 50 = 0 AND rating IS NOT NULL"
+_CORR = "SELECT DISTINCT agency, date, trim(rating) AS wrong_rating, 'BBB' AS corrected_rating FROM rawlog WHERE source = 'desk note' AND rating IS NOT NULL"
 
 
 @query(
@@ -191,7 +193,7 @@ _CORR = "SELECT DISTINCT agency, date, trim(rating) AS wrong_rating, 'BBB' AS co
 def o060_corrections(spark: SparkSession, d: str) -> DataFrame:
     """O-60: known wrong ratings replaced by agency, date and wrong value."""
     log = raw_log(spark, d)
-    c = log.filter((F.col("raw_id") % 50 == 0) & F.col("rating").isNotNull()).groupBy("agency", "date").agg(F.min(F.trim("rating")).alias("wrong_rating")).withColumn("corrected_rating", F.lit("BBB"))
+    c = log.filter((F.col("source") == "desk note") & F.col("rating").isNotNull()).groupBy("agency", "date").agg(F.min(F.trim("rating")).alias("wrong_rating")).withColumn("corrected_rating", F.lit("BBB"))
     return ra.apply_corrections(log, c)[0].select("raw_id", "rating")
 
 

@@ -177,7 +177,7 @@ def o139_risk_labels(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def o137_density_labels(spark: SparkSession, d: str) -> DataFrame:
     """O-137: walk-forward labels by density clusters; noise and unseen labels are excluded."""
-    return mo.label_panel(panel(spark, d).filter("year(rebal_date) >= 2024"), CORE, algorithm="hdbscan", k=10)
+    return mo.label_panel(panel(spark, d), CORE, algorithm="hdbscan", k=10)
 
 
 def targets(spark: SparkSession, d: str) -> DataFrame:
@@ -196,7 +196,7 @@ def o145_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _compared(spark: SparkSession, d: str) -> DataFrame:
-    return cut_lineage(mo.walk_forward(targets(spark, d).filter("year(rebal_date) >= 2018"), MODEL_FEATURES, most_rows=500))
+    return cut_lineage(mo.walk_forward(targets(spark, d), MODEL_FEATURES))
 
 
 @query()
