@@ -149,3 +149,17 @@ def test_implausible_flags_copies_and_survives_dirt(spark):
     got = {tuple(r) for r in implausible(spark.createDataFrame(rows, schema), ["ric"], "date", "value", "row_id", Rules(lowest=1e-9)).collect()}
     assert got == {(40, "spike"), (500, "spike"), (502, "impossible")}
     assert implausible(spark.createDataFrame([], schema), ["ric"], "date", "value", "row_id", Rules()).count() == 0
+
+
+def test_time_shards_change_no_verdict(spark):
+    rng = np.random.default_rng(8)
+    v = _series(4000, 4)
+    for i in rng.choice(np.arange(20, 3980), 25, replace=False):
+        v[i] += 15
+    v[1900:2100] = v[1900]  # stuck across a border
+    rows = [("hot", D(2000, 1, 1) + dt.timedelta(days=i // 2), float(x), i) for i, x in enumerate(v)] + [("cold", D(2000, 1, 1) + dt.timedelta(days=i), float(x), 10_000 + i) for i, x in enumerate(_series(90, 5))]
+    df = spark.createDataFrame(rows, "ric string, date date, value double, row_id bigint")
+    whole, cut = (sorted(map(tuple, implausible(df, ["ric"], "date", "value", "row_id", Rules(lowest=1e-9), shard_rows=n).collect())) for n in (10**6, 1500))
+    assert whole == cut and len(whole) > 200
+    crowded = spark.createDataFrame([("hot", D(2000, 1, 1), float(x), i) for i, x in enumerate(v)], "ric string, date date, value double, row_id bigint")
+    assert implausible(crowded, ["ric"], "date", "value", "row_id", Rules(lowest=1e-9), shard_rows=500).count() >= 0
