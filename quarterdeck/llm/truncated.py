@@ -3,7 +3,7 @@
 A first pass sums up the end of every text: marks that a cut leaves, markup left open, a complete
 ending, or an open ending with its final token and the shape of its last line.  A second pass collects
 the vocabulary of the *inner* tokens of all texts, and how often structural lines
-(lists, tables, headings) of every shape occur complete inside texts.
+(lists, tables, headings) of every shape occur complete inside texts: shapes are looked up as words are.
 
 Final tokens are then looked up in a trie of the vocabulary.  The trie is distributed:
 its two upper levels are a table of word beginnings, the tries below them are built shard by shard,
@@ -22,20 +22,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, shuffle_width
 
 #: A shape must occur complete that often inside texts to be an ending.
 SHAPE_SUPPORT = 5
 #: Cuts of one source at one length that make the length a limit, and their least share of that length's texts.
 LIMIT_SUPPORT, LIMIT_SHARE = 3, 0.5
+#: Least share of a source's cuts that pile up at a limit; scattered cuts that share a length by chance don't.
+LIMIT_PILE = 0.02
 #: Characters that a worker keeps as lines already seen.
 LINE_MEMORY_CHARS = 32_000_000
 
 # Marks left by a cut, and ends of sentences in the scripts at hand.
 CUT_MARKS = ("…", "...", "�", "[...]", "[…]", "[truncated]", "(truncated)", "<truncated>", "[cut]")
-SENTENCE_ENDS = ".?!。؟！？؛;।·»”\""
+SENTENCE_ENDS = ".?!。؟！？؛।»”\""
+GREEK_ENDS = ";·"  # a question mark and a stop in Greek only
 STRUCTURAL = "*|!=#:;{[<-"
 
+_GREEK = re.compile(r"[\u0370-\u03ff\u1f00-\u1fff]\W*$")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _DIGITS = re.compile(r"\d+")
 _LETTERS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
@@ -67,7 +71,9 @@ def left_open(text: str) -> bool:
 
 def _complete(line: str) -> bool | None:
     """True if the last line ends as sentences and markup do, None if only its shape can tell, False if it is open."""
-    if line[-1] in SENTENCE_ENDS and not line.startswith("!"):
+    if line[-1] in SENTENCE_ENDS and not (line.startswith("!") and line.endswith("!!")):  # a table's header ends its cells so
+        return True
+    if line[-1] in GREEK_ENDS and _GREEK.search(line):
         return True
     if _STRUCT_END.search(line):
         if line[0] in STRUCTURAL and not (line[0] == "*" and not line.endswith("]]")):
@@ -189,16 +195,33 @@ def _shard(tokens: pa.Table, words: pa.Table) -> pa.Table:
     return pa.table({"item": pa.array(asked, pa.string()), "known": pa.array([k for k, _ in found], pa.bool_()), "prefix": pa.array([p for _, p in found], pa.bool_())})
 
 
+def _looked_up(items: DataFrame, words: DataFrame) -> DataFrame:
+    """``item, known, prefix`` of every item against the trie of the words: known as a word, and a proper prefix of words.
+
+    The trie's upper levels, single characters as words and as beginnings of longer words, are a table; the levels
+    below are built shard by shard, by the first two characters.
+    """
+    width = 4 * max(8, shuffle_width(items.sparkSession))
+    shard = F.pmod(F.xxhash64(F.substring("item", 1, 2)), F.lit(width)).alias("shard")
+    deep = (
+        items.filter("length(item) > 1").select(shard, "item").groupBy("shard")
+        .cogroup(words.filter("length(item) > 1").select(shard, "item").groupBy("shard"))
+        .applyInArrow(lambda t, w: _shard(t, w), "item string, known boolean, prefix boolean")
+    )
+    upper = words.groupBy(F.substring("item", 1, 1).alias("item")).agg(F.max(F.length("item") == 1).alias("known"), F.max(F.length("item") > 1).alias("prefix"))
+    shallow = items.filter("length(item) = 1").join(upper, "item", "left")
+    return deep.unionByName(shallow.select("item", F.coalesce("known", F.lit(False)).alias("known"), F.coalesce("prefix", F.lit(False)).alias("prefix")))
+
+
 def truncated(df: DataFrame, row_id: str, source: str, text: str) -> DataFrame:
     """``row_id, source, n_chars, n_bytes, reason`` of every row; reason is NULL for whole texts.
 
     Reasons: ``end`` (mark or open markup), ``token`` (unknown proper prefix of known words), ``sentence`` (broken off
-    between words), ``shape`` (a list, table or heading line of a shape that never occurs complete), ``limit`` (open
+    between words), ``shape`` (a list, table or heading line of a shape that is the beginning of usual shapes and none itself), ``limit`` (open
     end at a length where the source's cuts pile up).  NULL, empty and blank texts are whole, as are texts without
     sentences and markup that end in a known word.  A NULL source is a source of its own.  Whole texts are read,
     whatever their length; other columns are ignored.
     """
-    spark = df.sparkSession
     kind = df.schema[row_id].dataType.simpleString()
     rows = df.select(F.col(row_id).alias("id"), F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("text"))
     ends = rows.mapInArrow(_ends, f"id {kind}, source string, verdict string, token string, shape string, n_chars bigint, n_bytes bigint")
@@ -208,37 +231,31 @@ def truncated(df: DataFrame, row_id: str, source: str, text: str) -> DataFrame:
 
     words = inner.filter("kind = 'w'").select("item")
     tokens = ends.filter("verdict IN ('prose', 'bare', 'shape') AND token <> ''").select(F.col("token").alias("item")).distinct()
-    shard = F.pmod(F.xxhash64(F.substring("item", 1, 2)), F.lit(4 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))).alias("shard")
-    deep = (
-        tokens.filter("length(item) > 1").select(shard, "item").groupBy("shard")
-        .cogroup(words.filter("length(item) > 1").select(shard, "item").groupBy("shard"))
-        .applyInArrow(lambda t, w: _shard(t, w), "item string, known boolean, prefix boolean")
-    )
-    # The upper levels of the trie: single characters as words, and as beginnings of longer words.
-    upper = words.groupBy(F.substring("item", 1, 1).alias("item")).agg(
-        F.max(F.length("item") == 1).alias("known"), F.max(F.length("item") > 1).alias("prefix")
-    )
-    shallow = tokens.filter("length(item) = 1").join(upper, "item", "left").select("item", F.coalesce("known", F.lit(False)).alias("known"), F.coalesce("prefix", F.lit(False)).alias("prefix"))
-    looked = deep.unionByName(shallow).filter("prefix AND NOT known").select(F.col("item").alias("token"), F.lit(True).alias("broken"))
-    shapes = inner.filter(f"kind = 's' AND n >= {SHAPE_SUPPORT}").select(F.col("item").alias("shape"), F.lit(True).alias("usual"))
+    broken = _looked_up(tokens, words).filter("prefix AND NOT known").select(F.col("item").alias("token"), F.lit(True).alias("broken"))
+    usual = inner.filter(f"kind = 's' AND n >= {SHAPE_SUPPORT}").select("item")
+    shapes = ends.filter("verdict = 'shape'").select(F.col("shape").alias("item")).distinct()
+    partial = _looked_up(shapes, usual).filter("prefix AND NOT known").select(F.col("item").alias("shape"), F.lit(True).alias("partial"))
 
     judged = (
-        ends.join(looked, "token", "left").join(shapes, "shape", "left")
+        ends.join(broken, "token", "left").join(partial, "shape", "left")
         .withColumn(
             "reason",
             F.when(F.col("verdict") == "cut", "end")
             .when(F.col("verdict").isin("prose", "bare", "shape") & F.col("broken"), "token")
             .when(F.col("verdict") == "prose", "sentence")
-            .when((F.col("verdict") == "shape") & F.col("usual").isNull(), "shape"),
+            .when((F.col("verdict") == "shape") & F.col("partial"), "shape"),
         )
     )
-    limits = [
-        judged.groupBy("source", n).agg(F.count("reason").alias("cuts"), F.count(F.lit(1)).alias("texts"))
-        .filter((F.col("cuts") >= LIMIT_SUPPORT) & (F.col("cuts") >= LIMIT_SHARE * F.col("texts")))
-        .select(F.col("source").alias(f"s_{n}"), F.col(n).alias(f"v_{n}"))
-        for n in ("n_chars", "n_bytes")
-    ]
-    for n, t in zip(("n_chars", "n_bytes"), limits):
+    total = judged.groupBy("source").agg(F.count("reason").alias("all_cuts"))
+    units = F.explode(F.array(F.struct(F.lit("n_chars").alias("unit"), F.col("n_chars").alias("v")), F.struct(F.lit("n_bytes").alias("unit"), F.col("n_bytes").alias("v")))).alias("u")
+    piles = judged.select("source", "reason", units).groupBy("source", "u.v", "u.unit").agg(F.count("reason").alias("cuts"), F.count(F.lit(1)).alias("texts"))
+    piles = piles.filter((F.col("cuts") >= LIMIT_SUPPORT) & (F.col("cuts") >= LIMIT_SHARE * F.col("texts")))
+    # Characters and bytes of plain texts agree: the unit with more cuts at a length is the limit's, the other its shadow.
+    best = piles.groupBy("source", "v").agg(F.max(F.struct("cuts", (F.col("unit") == "n_chars").alias("chars"))).alias("b"))
+    best = best.alias("p").join(total.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source"))).filter(F.col("p.b.cuts") >= LIMIT_PILE * F.col("t.all_cuts"))
+    best = best.select(F.col("p.source").alias("source"), F.col("p.v").alias("v"), F.col("p.b.chars").alias("chars"))
+    for n, own in (("n_chars", F.col("chars")), ("n_bytes", ~F.col("chars"))):
+        t = best.filter(own).select(F.col("source").alias(f"s_{n}"), F.col("v").alias(f"v_{n}"))
         judged = judged.join(t, F.col("source").eqNullSafe(F.col(f"s_{n}")) & (F.col(n) == F.col(f"v_{n}")), "left")
     at_limit = F.col("v_n_chars").isNotNull() | F.col("v_n_bytes").isNotNull()
     reason = F.coalesce("reason", F.when(F.col("verdict").isin("bare", "shape") & at_limit, F.lit("limit")))

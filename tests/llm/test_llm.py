@@ -285,7 +285,7 @@ def test_pack_keeps_every_token_once(spark):
     [
         (None, "whole"), ("", "whole"), ("  \n", "whole"), ("A sentence. Done.", "whole"), ("[[Category:X]]\n[[Category:Y]]", "whole"), ("x {{a|b}} is. A [[link", "cut"), ("It was built in 19. The old…", "cut"),
         ("End of it…", "cut"), ("A b.\n\n{| class\n! P !! ", "cut"), ("Text.<ref>{{cite|t=1}}", "cut"), ("Text.<ref name=", "cut"), ("Seen by many. The new town of", "prose"), ("haha haha haha ", "bare"), ("zzzzzz", "bare"),
-        ("== See also ==\n* Some mill", "shape"), ("Text one. Goes to [[Place]]", "prose"), ("Text one.\n\nfoo [[Category:Z]]", "whole"), ("He said “no”", "whole"), ("ends in half a byte �", "cut"), ("== Head ==", "whole"), ("終わり。", "whole"), ("Wait. Then [...]", "cut"),
+        ("== See also ==\n* Some mill", "shape"), ("Text one. Goes to [[Place]]", "prose"), ("Text one.\n\nfoo [[Category:Z]]", "whole"), ("He said “no”", "whole"), ("ends in half a byte �", "cut"), ("== Head ==", "whole"), ("終わり。", "whole"), ("Wait. Then [...]", "cut"), ("Ποιος το έχτισε;", "whole"), ("It is old. Little is known;", "prose"), ("!!Stub. Made by a script.", "whole"), ("asdf jkl; asdf jkl;", "bare"),
     ],
 )
 def test_endings(text, verdict):
