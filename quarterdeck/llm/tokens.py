@@ -201,10 +201,56 @@ class ByteBPE:
         return flat, np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
 
 
+class LibraryTokenizer:
+    """Any other public tokenizer, encoded by the library that its file belongs to."""
+
+    def __init__(self, path: str):
+        if path.endswith(".json"):
+            from tokenizers import Tokenizer
+
+            t = Tokenizer.from_file(path)
+            t.encode_special_tokens = True  # their strings in a text are ordinary text
+            self.run = lambda texts: [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+        elif path.endswith(".tiktoken"):
+            import base64
+
+            import tiktoken
+
+            with open(path, "rb") as f:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.run = lambda texts: [own.encode_ordinary(t) for t in texts]
+        else:
+            import sentencepiece
+
+            model = sentencepiece.SentencePieceProcessor(model_file=path)
+            self.run = lambda texts: model.encode(texts, num_threads=1)
+
+    def encode_batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of all texts, and the offsets of each text. NULL and empty texts have no ids."""
+        full = [t for t in texts if t]
+        found = iter(self.run(full) if full else [])
+        ids = [next(found) if t else [] for t in texts]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter((i for x in ids for i in x), np.int32, int(size.sum()))
+        return flat, np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+
+
+def _is_byte_level(path: str) -> bool:
+    with open(path, encoding="utf-8") as f:
+        t = json.load(f)
+    split = t.get("pre_tokenizer") or {}
+    return t["model"].get("type") == "BPE" and not t.get("normalizer") and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+
+
 @lru_cache(maxsize=4)
-def vocabulary(name: str, folder: str = TOKENIZER_DIR) -> ByteBPE:
-    """The vocabulary of that file name, once per worker."""
-    return ByteBPE(os.path.join(folder, f"{name}.json"))
+def vocabulary(name: str, folder: str = TOKENIZER_DIR) -> ByteBPE | LibraryTokenizer:
+    """The tokenizer of that name, once per worker: byte-level BPE by speculation, any other by its library."""
+    for suffix in (".json", ".tiktoken", ".model"):
+        path = os.path.join(folder, name + suffix)
+        if os.path.exists(path):
+            return ByteBPE(path) if suffix == ".json" and _is_byte_level(path) else LibraryTokenizer(path)
+    raise FileNotFoundError(f"no tokenizer {name} in {folder}")
 
 
 def _batches(batches: Iterator[pa.RecordBatch], name: str, folder: str, rows: int = 1000):

@@ -216,6 +216,16 @@ def test_ids_equal_the_public_library(spark):
     assert encode(df.limit(0), "doc_id", "text").count() == 0
 
 
+@needs_vocabulary
+@pytest.mark.parametrize("name", ["byte_bpe_multi_50k", "word_bpe_49k", "piece_bpe_32k"])
+def test_other_tokenizers_by_their_libraries(spark, name):
+    df = spark.createDataFrame(list(enumerate(["a b", "", None, "Hello <|endoftext|> wörld"])), "doc_id bigint, text string")
+    got = {r.doc_id: list(r.ids) for r in encode(df, "doc_id", "text", name).collect()}
+    assert got[1] == got[2] == [] and len(got[0]) >= 2 and len(got[3]) > 4
+    with pytest.raises(FileNotFoundError):
+        vocabulary("no such tokenizer")
+
+
 @needs_vocabulary
 def test_speculation_never_changes_a_result():
     b = vocabulary("byte_bpe_50k")
