@@ -1 +1 @@
-"""Part of the quarterdeck engine."""
+"""Column expressions and small learners."""

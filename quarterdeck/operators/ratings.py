@@ -46,9 +46,8 @@ def infer_actions(log: DataFrame, keys: list[str], order: list[str]) -> DataFram
 
 def apply_corrections(log: DataFrame, corrections: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The log with known wrong ratings replaced, and the corrections that match no row (which should be none)."""
-    c = F.broadcast(corrections) if "_bounded" in corrections.columns else corrections
     on = ["agency", "date"]
-    hit = log.join(c.select(*on, F.trim("wrong_rating").alias("_wrong"), F.col("corrected_rating").alias("_right")), [*on], "left")
+    hit = log.join(corrections.select(*on, F.trim("wrong_rating").alias("_wrong"), F.col("corrected_rating").alias("_right")), [*on], "left")
     right = F.when(F.trim("rating") == F.col("_wrong"), F.col("_right"))
     fixed = hit.withColumn("rating", F.coalesce(right, F.col("rating"))).drop("_wrong", "_right")
     stale = corrections.join(log.select(*on, F.trim("rating").alias("wrong_rating")), [*on, "wrong_rating"], "left_anti")

@@ -1 +1 @@
-"""Part of the quarterdeck engine."""
+"""Queries over the test tables, and the SQL they are held against."""

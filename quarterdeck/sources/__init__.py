@@ -1 +1 @@
-"""Part of the quarterdeck engine."""
+"""Sources and sinks."""

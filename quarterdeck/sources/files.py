@@ -134,9 +134,8 @@ def flatten_weo(payloads: DataFrame, payload: str = "payload", indicator: str =
 
 def fred_series(raw: DataFrame, first: str, last: str, lag_days: int) -> DataFrame:
     """``date, value, available_date`` of rows of text: within the range, numeric values only, known ``lag_days`` later."""
-    rows = raw.select(F.to_date("date").alias("date"), F.try_to_number(F.col("value"), F.lit("S999999999D999999")).cast("double").alias("parsed"), F.col("value"))
-    value = F.coalesce("parsed", F.expr("try_cast(value AS double)"))
-    return rows.select("date", value.alias("value"), F.date_add("date", lag_days).alias("available_date")).filter(F.col("date").between(first, last) & F.col("value").isNotNull())
+    rows = raw.select(F.to_date("date").alias("date"), F.col("value").try_cast("double").alias("value"))
+    return rows.withColumn("available_date", F.date_add("date", lag_days)).filter(F.col("date").between(first, last) & F.col("value").isNotNull())
 
 
 def date_chunks(spark: SparkSession, first: str, last: str, years: int = 2) -> DataFrame:
