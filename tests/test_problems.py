@@ -135,6 +135,12 @@ def test_tail_cutoff_of_an_exponential_tail():
     assert abs(c - -math.log(1e-4)) < 1.5
 
 
+def test_a_reading_beside_a_spike_is_none():
+    n = np.array([10, 9, 8, 6, 18, 18, 7, 9, 12, 12, 12, 12.0])
+    r = judge(n, np.zeros(12, int), np.ones(12, int), None, Rules(lowest=1, highest=22, window=4, by_moves=False, cut_least=4.6, cut_most=4.9))
+    assert [i for i in range(12) if r[i]] == [4, 5]
+
+
 def test_departures_stay_within_series():
     v = np.array([1.0, 1, 1, 50, 50, 50])
     assert (departures(v, np.array([0, 0, 0, 1, 1, 1]), np.ones(6, int), 5) == 0).all()
