@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -47,3 +48,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def shuffle_width(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def ensure_importable(spark: SparkSession) -> None:
+    """Let Python workers import this package wherever the driver was started from.
+
+    The package's folder joins the workers' search path; executors of other machines, which may not have that folder, are
+    sent the package itself, unless PYTHONPATH names the folder already (then all executors are meant to have it).
+    """
+    sc = spark.sparkContext
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if home in known or home in sc.environment.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    sc.environment["PYTHONPATH"] = os.pathsep.join(p for p in (home, sc.environment.get("PYTHONPATH")) if p)
+    if not sc.master.startswith("local"):
+        with tempfile.TemporaryDirectory() as folder:  # of the driver; Spark serves the archive to the executors
+            sc.addPyFile(shutil.make_archive(os.path.join(folder, "quarterdeck"), "zip", home, "quarterdeck"))
