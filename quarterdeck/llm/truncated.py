@@ -246,6 +246,7 @@ def truncated(df: DataFrame, row_id: str, source: str, text: str) -> DataFrame:
             .when((F.col("verdict") == "shape") & F.col("partial"), "shape"),
         )
     )
+    judged = cut_lineage(judged)  # one short row per text, read for the piles and for the answer
     total = judged.groupBy("source").agg(F.count("reason").alias("all_cuts"))
     units = F.explode(F.array(F.struct(F.lit("n_chars").alias("unit"), F.col("n_chars").alias("v")), F.struct(F.lit("n_bytes").alias("unit"), F.col("n_bytes").alias("v")))).alias("u")
     piles = judged.select("source", "reason", units).groupBy("source", "u.v", "u.unit").agg(F.count("reason").alias("cuts"), F.count(F.lit(1)).alias("texts"))
