@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -62,6 +63,7 @@ def ensure_importable(spark: SparkSession) -> None:
     if home in known or home in sc.environment.get("PYTHONPATH", "").split(os.pathsep):
         return
     sc.environment["PYTHONPATH"] = os.pathsep.join(p for p in (home, sc.environment.get("PYTHONPATH")) if p)
-    if not sc.master.startswith("local"):
-        with tempfile.TemporaryDirectory() as folder:  # of the driver; Spark serves the archive to the executors
-            sc.addPyFile(shutil.make_archive(os.path.join(folder, "quarterdeck"), "zip", home, "quarterdeck"))
+    if not sc.master.startswith("local[") and sc.master != "local":
+        folder = tempfile.mkdtemp(prefix="quarterdeck-")  # of the driver; Spark serves the archive from there to the executors
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.addPyFile(shutil.make_archive(os.path.join(folder, "quarterdeck"), "zip", home, "quarterdeck"))
