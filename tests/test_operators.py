@@ -146,6 +146,7 @@ def test_labels_and_scores_are_truncation_invariant(spark):
     p = _panel(spark).cache()
     cut = p.filter("rebal_date <= '2017-06-30'")
     for run, cols in (
+        (lambda d: mo.label_panel(d, ["a", "b", "c"], "gmm", k=2, proxy="a"), ["panel_id", "risk_label"]),
         (lambda d: mo.label_panel(d, ["a", "b", "c"], k=2, proxy="a"), ["panel_id", "risk_label", "risk_score"]),
         (lambda d: mo.score_panel(d, ["a", "b", "c"]), ["panel_id", "signal_status", "predicted_excess_return", "predicted_prob_positive"]),
     ):
@@ -167,6 +168,8 @@ def test_learners_find_structure():
     truth = np.repeat([0, 1], 60)
     for label in (L.kmeans(x, 2)[1], L.gaussian_mixture(x, 2)[0], L.density_clusters(x, 10)[0]):
         assert len({(t, g) for t, g in zip(truth, label) if g >= 0}) == 2
+    label, _, _, predict = L.gaussian_mixture(x, 2)
+    assert (predict(x) == label).all()
     y = 2 * x[:, 0] + rng.normal(0, 0.05, 120)
     w, b = L.lasso(x, y, 0.001)
     assert abs(x @ w + b - y).mean() < 0.1
