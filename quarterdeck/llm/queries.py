@@ -95,17 +95,18 @@ QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p1_compare": p1_co
 _MARKS = ", ".join(f"'{m}'" for m in NO_STATEMENT)
 _P3 = f"""
 WITH r AS (SELECT *, upper(trim(agency)) AS ag, date_trunc('month', date) AS mo FROM rating_raw),
-g AS (SELECT country, ag, mo, min(raw_id) AS group_id FROM r WHERE country IS NOT NULL AND ag IS NOT NULL AND mo IS NOT NULL GROUP BY ALL HAVING count(*) >= 2),
+g AS (SELECT country, ag, mo, min(raw_id) AS group_id, count(*) AS n_rows FROM r WHERE country IS NOT NULL AND ag IS NOT NULL AND mo IS NOT NULL GROUP BY ALL HAVING count(*) >= 2),
 t AS (SELECT source, field_name, min(trust_rank) AS k FROM source_trust GROUP BY ALL),
 c AS (
-  SELECT g.group_id, f.field_name, r.raw_id,
+  SELECT g.group_id, f.field_name, r.raw_id, CASE f.field_name WHEN 'rating' THEN trim(r.rating) WHEN 'outlook' THEN trim(r.outlook) ELSE strftime(r.date, '%Y-%m-%d') END AS value,
          row_number() OVER (PARTITION BY g.group_id, f.field_name ORDER BY coalesce(t.k, 2147483647), r.recorded_at DESC NULLS LAST, r.raw_id) AS n
   FROM g JOIN r USING (country, ag, mo) CROSS JOIN (VALUES ('rating'), ('outlook'), ('date')) f(field_name)
   LEFT JOIN t ON t.source = r.source AND t.field_name = f.field_name
   WHERE f.field_name = 'date' OR (f.field_name = 'outlook' AND upper(trim(r.outlook)) NOT IN ({_MARKS}))
      OR (f.field_name = 'rating' AND upper(trim(r.rating)) NOT IN ({_MARKS}) AND NOT regexp_matches(trim(r.rating), '^\\([^()]*\\)$'))
 )
-SELECT g.group_id,
+"""
+_IDS = """SELECT g.group_id,
   coalesce(max(CASE WHEN field_name = 'rating' THEN raw_id END), -1) AS rating_raw_id,
   coalesce(max(CASE WHEN field_name = 'outlook' THEN raw_id END), -1) AS outlook_raw_id,
   coalesce(max(CASE WHEN field_name = 'date' THEN raw_id END), -1) AS date_raw_id
@@ -117,8 +118,16 @@ k AS (SELECT run_id, rebal_date, country_code, signal_id, predicted_excess_retur
              ORDER BY predicted_excess_return DESC, country_code) AS INT) AS rank_within_date
       FROM l WHERE n = 1 AND signal_status = 'scored' AND predicted_excess_return IS NOT NULL AND NOT isnan(predicted_excess_return))
 """
+_VALUES = """
+SELECT g.group_id, any_value(g.country) AS country, any_value(g.ag) AS agency, CAST(any_value(g.mo) AS DATE) AS month, any_value(g.n_rows) AS n_rows,
+  max(CASE WHEN field_name = 'rating' THEN value END) AS rating, coalesce(max(CASE WHEN field_name = 'rating' THEN raw_id END), -1) AS rating_raw_id,
+  max(CASE WHEN field_name = 'outlook' THEN value END) AS outlook, coalesce(max(CASE WHEN field_name = 'outlook' THEN raw_id END), -1) AS outlook_raw_id,
+  max(CASE WHEN field_name = 'date' THEN value END) AS date, coalesce(max(CASE WHEN field_name = 'date' THEN raw_id END), -1) AS date_raw_id
+FROM g LEFT JOIN c ON c.group_id = g.group_id AND c.n = 1 GROUP BY g.group_id
+"""
 ORACLE = {
-    "p3_found": _P3,
+    "p3_found": _P3 + _IDS,
+    "p3_survivors": _P3 + _VALUES,
     "p6_top": _P6 + "SELECT * FROM k WHERE rank_within_date <= 5",
     "p6_found": _P6 + "SELECT signal_id, rank_within_date FROM k WHERE rank_within_date <= 5",
 }
