@@ -95,6 +95,30 @@ def test_hot_deck(spark):
     assert hot_deck(spark.createDataFrame([], CELL)).count() == 0
 
 
+def test_hot_deck_equals_brute_force(spark):
+    rng = random.Random(11)
+    days = [D(2020, 1, 1) + dt.timedelta(days=30 * i) for i in range(8)]
+    rows = [(i, rng.choice(["A", "B", "C", None]), rng.choice(["DM", "EM"]), rng.choice(days), rng.choice([None, None, -999.0, float(i)]), 1.0, 1.0, "x", "", 0) for i in range(60)]
+    seen = {r[0]: r for r in rows if r[4] is not None and r[4] != -999.0}
+
+    def nearest(own, ok):
+        best = {}  # one donor per date: the smallest id
+        for i, r in sorted(seen.items()):
+            if ok(r):
+                best.setdefault(r[3], i)
+        return min(best.items(), key=lambda b: (abs((b[0] - own[3]).days), b[0] > own[3]))[1] if best else None
+
+    got = {r.panel_id: r for r in hot_deck(spark.createDataFrame(rows, CELL)).collect()}
+    for r in rows:
+        if r[0] in seen:
+            assert not got[r[0]].yield_spread_bps_filled and got[r[0]].yield_spread_bps == r[4]
+            continue
+        donor = nearest(r, lambda x: x[1] == r[1])  # noqa: B023
+        donor = donor if donor is not None else nearest(r, lambda x: x[2] == r[2])  # noqa: B023
+        assert got[r[0]].yield_spread_bps_donor == donor and got[r[0]].yield_spread_bps == seen[donor][4]
+        assert got[r[0]].yield_spread_bps_distance == abs((seen[donor][3] - r[3]).days)
+
+
 def _series(n=300, seed=0, move=0.3):
     return 100 + np.cumsum(np.random.default_rng(seed).normal(0, move, n))
 
