@@ -180,6 +180,51 @@ def test_learners_find_structure():
     assert mo.tier_of(0, 1) == "core-eligible" and [mo.tier_of(r, 2) for r in (0, 1)] == ["core-eligible", "satellite-candidate"]
 
 
+def _wide(spark, x, day=D(2020, 3, 31)):
+    """A panel of one quarter with the rows of ``x`` as a, b, c."""
+    return spark.createDataFrame([(i, f"e{i}", day, *map(float, r)) for i, r in enumerate(x)], "panel_id bigint, country_code string, rebal_date date, a double, b double, c double")
+
+
+def test_density_labels_use_every_row_of_a_large_window(spark):
+    rng = np.random.default_rng(7)
+    x = np.vstack([rng.normal(m, 0.2, (n, 3)) for m, n in ((0, 2955), (6, 2955), (3, 90))])
+    got = mo.label_panel(_wide(spark, x), ["a", "b", "c"], "hdbscan", k=10, proxy="a").toPandas().sort_values("panel_id")
+    label = got.raw_cluster_label.to_numpy(int)
+    assert set(got.training_window_n_rows) == {6000}
+    few = label[5910:]  # 90 rows are a cluster: 1 % is 60 of the 6000 rows, but 90 rows are under 60 of a sample of 2000
+    assert (few >= 0).mean() > 0.9 and len(set(few[few >= 0])) == 1 and not set(few[few >= 0]) & set(label[:5910])
+    assert set(got.risk_label[5910:][few >= 0]) == {"excluded"} and {"core-eligible", "satellite-candidate"} <= set(got.risk_label[:5910])
+
+
+def test_blocks_of_distances_give_the_whole(monkeypatch):
+    rng = np.random.default_rng(2)
+    x = np.vstack([rng.normal(0, 0.3, (70, 2)), rng.normal(4, 0.3, (50, 2)), [[9.0, 9.0]]])
+    label = np.repeat([0, 1, 2], [70, 50, 1])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    want = []
+    for i, g in enumerate(label):
+        inside = d[i, label == g].sum() / max((label == g).sum() - 1, 1)
+        other = min(d[i, label == h].mean() for h in range(3) if h != g)
+        want.append((other - inside) / max(other, inside) if (label == g).sum() > 1 else 0.0)
+    whole = L.density_clusters(x, 10)
+    monkeypatch.setattr(L, "BLOCK_CELLS", 500)
+    parts = L.density_clusters(x, 10)
+    assert L.silhouette(x, label) == pytest.approx(np.mean(want))
+    assert (whole[0] == parts[0]).all() and parts[1] == pytest.approx(np.sort(d, axis=1)[:, 9])
+    assert sorted(e[0] for e in L._spanning_tree(x, parts[1] ** 2)) == pytest.approx(_tree_weights(np.maximum(d, np.maximum(parts[1][:, None], parts[1]))))
+
+
+def _tree_weights(d):
+    """Weights of a minimum spanning tree, by joining the nearest pair of parts."""
+    part, out = list(range(len(d))), []
+    for i, j in sorted(((i, j) for i in range(len(d)) for j in range(i)), key=lambda e: d[e]):
+        if part[i] != part[j]:
+            out.append(d[i, j])
+            old, new = part[j], part[i]
+            part = [new if p == old else p for p in part]
+    return out
+
+
 def test_files_round_trip(spark, tmp_path):
     (tmp_path / "bonds").mkdir()
     (tmp_path / "bonds" / "New_Land.csv").write_text("date,MID_PRICE,BID\n2020-01-01,1.5,\n")
