@@ -196,6 +196,17 @@ def test_density_labels_use_every_row_of_a_large_window(spark):
     assert set(got.risk_label[5910:][few >= 0]) == {"excluded"} and {"core-eligible", "satellite-candidate"} <= set(got.risk_label[:5910])
 
 
+def test_sweep_figures_are_of_all_rows(spark):
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.normal(m, 0.3, (n, 3)) for m, n in ((0, 1500), (5, 1500))])
+    got = mo.cluster_sweep(_wide(spark, x), {"t": ["a", "b", "c"]}, range(2, 3), (0.02,)).toPandas().set_index("algorithm")
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    side = np.repeat([0, 1], 1500)
+    cost = sum(((z[side == g] - z[side == g].mean(axis=0)) ** 2).sum() for g in (0, 1))
+    assert set(got.n) == {3000} and got.k_or_mcs["hdbscan"] == 60 and set(got.n_clusters_found) == {2}
+    assert got.cost["kmeans"] == pytest.approx(cost) and got.silhouette["kmeans"] == pytest.approx(L.silhouette(z, side))
+
+
 def test_blocks_of_distances_give_the_whole(monkeypatch):
     rng = np.random.default_rng(2)
     x = np.vstack([rng.normal(0, 0.3, (70, 2)), rng.normal(4, 0.3, (50, 2)), [[9.0, 9.0]]])
