@@ -196,6 +196,22 @@ def test_density_labels_use_every_row_of_a_large_window(spark):
     assert set(got.risk_label[5910:][few >= 0]) == {"excluded"} and {"core-eligible", "satellite-candidate"} <= set(got.risk_label[:5910])
 
 
+def test_risk_scores_come_from_every_row_of_a_large_window(spark):
+    rng = np.random.default_rng(9)
+    x = np.vstack([rng.normal(m, 1.0, (n, 3)) for m, n in ((0, 15000), (3, 10000))])
+    x[rng.random(x.shape) < 0.05] = np.nan
+    panel = _wide(spark, x).select("panel_id", "country_code", "rebal_date", *(F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in "abc"))
+    got = mo.label_panel(panel, ["a", "b", "c"], k=2, proxy="a").toPandas().sort_values("panel_id")
+    ok = (~np.isnan(x)).sum(axis=1) >= 2
+    z = np.where(np.isnan(x[ok]), np.nanmedian(x[ok], axis=0), x[ok])
+    z = (z - z.mean(axis=0)) / z.std(axis=0)
+    c, side, _ = L.kmeans(z, 2)
+    means = [np.nanmean(x[ok][side == g, 0]) for g in (0, 1)]
+    d = np.sqrt(((z[:, None] - c[np.argsort(means)][None]) ** 2).sum(axis=2))
+    assert set(got.training_window_n_rows) == {ok.sum()} and ok.sum() > 20000
+    assert got.risk_score.to_numpy()[ok] == pytest.approx(d[:, 0] / d.sum(axis=1), abs=1e-9) and np.isnan(got.risk_score.to_numpy()[~ok]).all()
+
+
 def test_sweep_figures_are_of_all_rows(spark):
     rng = np.random.default_rng(8)
     x = np.vstack([rng.normal(m, 0.3, (n, 3)) for m, n in ((0, 1500), (5, 1500))])
