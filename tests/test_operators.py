@@ -11,6 +11,7 @@ from quarterdeck.functions import outlooks as o
 from quarterdeck.functions.tdist import upper_tail
 from quarterdeck.operators import evaluation as e
 from quarterdeck.operators import events as ev
+from quarterdeck.operators import folds as fo
 from quarterdeck.operators import models as mo
 from quarterdeck.operators import pit
 from quarterdeck.operators import quality as qu
@@ -212,6 +213,24 @@ def test_risk_scores_come_from_every_row_of_a_large_window(spark):
     assert got.risk_score.to_numpy()[ok] == pytest.approx(d[:, 0] / d.sum(axis=1), abs=1e-9) and np.isnan(got.risk_score.to_numpy()[~ok]).all()
 
 
+def test_sampled_models_are_scaled_by_the_whole_window(spark, monkeypatch):
+    p = _panel(spark, 6, 60)
+    monkeypatch.setattr(mo, "REGISTRY", {"regression": {"lasso": mo.REGISTRY["regression"]["lasso"]}})
+    got = mo.walk_forward(p, ["a", "b", "c"], most_rows=40).toPandas()
+    rows = p.toPandas().sort_values("panel_id")
+    for day, g in got.groupby("rebal_date"):
+        train = rows[(rows.target_period_end <= day) & rows.target_realized]
+        x, a = L.impute_scale(train[["a", "b", "c"]].to_numpy(), rows.set_index("panel_id").loc[g.panel_id, ["a", "b", "c"]].to_numpy(), keep_empty=True)
+        assert set(g.training_window_n_rows) == {len(train)} and 0 < g.n_train.iloc[0] < len(train)
+        ids = spark.createDataFrame([(int(i), len(train)) for i in train.panel_id], "panel_id bigint, n bigint").withColumn("use", fo.drawn("panel_id", "n", 40)).toPandas()
+        use = ids.use.to_numpy(bool)
+        w, b = L.lasso(x[use], train.excess_return.to_numpy()[use], 0.01)
+        assert g.n_train.iloc[0] == use.sum() and g.predicted.to_numpy() == pytest.approx(a @ w + b)
+    s = mo.score_panel(p, ["a", "b", "c"], most_rows=40).toPandas()
+    s = s[s.signal_status == "scored"]
+    assert len(s) and (s.n_train < s.training_window_n_rows).all()
+
+
 def test_sweep_figures_are_of_all_rows(spark):
     rng = np.random.default_rng(8)
     x = np.vstack([rng.normal(m, 0.3, (n, 3)) for m, n in ((0, 1500), (5, 1500))])
