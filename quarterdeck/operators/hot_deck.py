@@ -82,9 +82,10 @@ def hot_deck(
     """The panel with each field filled: ``row_id, group, date`` and, per field, the value,
     ``<field>_filled``, ``<field>_donor`` (row id) and ``<field>_distance`` (days).
 
-    A NULL group or kind is a group of its own; rows with a NULL date take no dated donor and
-    stay unfilled (marked filled = true with a NULL value, as are fields without any donor at
-    all).  Repeated rows are filled alike.  Empty tables stay empty; other columns are ignored.
+    A cell is filled where a donor was found; it stays NULL and unfilled only if no row of the whole
+    panel observes the field.  A NULL group or kind is a group of its own; a NULL date lies before all dates, and a donor
+    or cell without a date has a NULL distance.  Repeated rows are filled alike.  Empty tables stay
+    empty; other columns are ignored.
     """
     rows = df.select(
         F.col(row_id).alias("id"), F.col(group).alias("grp"), F.col(kind).alias("kind"), F.col(date).cast("date").alias("date"),
@@ -102,16 +103,16 @@ def hot_deck(
 
     a, b, c = prefixed(near_group, "g", "grp"), prefixed(near_kind, "k", "kind"), prefixed(near_all, "a", None)
     joined = (
-        rows.join(a, F.col("grp").eqNullSafe(F.col("g_key")) & (F.col("date") == F.col("g_date")), "left")
-        .join(b, F.col("kind").eqNullSafe(F.col("k_key")) & (F.col("date") == F.col("k_date")), "left")
-        .join(c, F.col("date") == F.col("a_date"), "left")
+        rows.join(a, F.col("grp").eqNullSafe(F.col("g_key")) & F.col("date").eqNullSafe(F.col("g_date")), "left")
+        .join(b, F.col("kind").eqNullSafe(F.col("k_key")) & F.col("date").eqNullSafe(F.col("k_date")), "left")
+        .join(c, F.col("date").eqNullSafe(F.col("a_date")), "left")
     )
     out = [F.col("id").alias(row_id), F.col("grp").alias(group), F.col("date").alias(date)]
     for f in fields:
         donor = F.coalesce(F.col(f"g_near_{f}"), F.col(f"k_near_{f}"), F.col(f"a_near_{f}"))
         out += [
             F.when(F.col(f"ok_{f}"), F.col(f)).otherwise(donor["value"]).alias(f),
-            (~F.col(f"ok_{f}")).alias(f"{f}_filled"),
+            (~F.col(f"ok_{f}") & donor["id"].isNotNull()).alias(f"{f}_filled"),
             F.when(~F.col(f"ok_{f}"), donor["id"]).alias(f"{f}_donor"),
             F.when(~F.col(f"ok_{f}"), F.abs(F.datediff("date", donor["date"]))).alias(f"{f}_distance"),
         ]
@@ -119,6 +120,6 @@ def hot_deck(
 
 
 def filled_cells(panel: DataFrame, row_id: str = "panel_id", fields=FIELDS) -> DataFrame:
-    """The marks of :func:`hot_deck`, one row per filled cell."""
+    """The marks of :func:`hot_deck`, one row per cell that took a donor's value."""
     marks = F.array(*(F.when(F.col(f"{f}_filled"), F.lit(f)) for f in fields))
     return panel.select(row_id, F.explode(F.array_compact(marks)).alias("field_name"))

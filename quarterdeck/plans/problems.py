@@ -93,10 +93,38 @@ def _p7_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
+def _p7_filled_sql() -> str:
+    """Per field the missing cells, the donors of the three levels (one per key and date), and the nearest of the first level that has one."""
+    words = ", ".join(f"'{w}'" for w in TEXT_PLACEHOLDERS)
+    ok = {f: f"({f} IS NOT NULL AND NOT isnan({f}) AND NOT isinf({f}) AND {f} NOT IN ({', '.join(map(str, marks))}))" for f, marks in NUMERIC_PLACEHOLDERS.items()}
+    ok["coverage_tier"] = f"(coverage_tier IS NOT NULL AND lower(trim(coverage_tier)) NOT IN ({words}))"
+    ctes, cols, joins = [], [], ""
+    for f, good in ok.items():
+        ctes.append(f"c_{f} AS (SELECT DISTINCT country_code AS grp, dm_em_flag AS kind, rebal_date AS date FROM feature_panel WHERE NOT coalesce({good}, false))")
+        for level, key in (("g", "country_code"), ("k", "dm_em_flag"), ("a", "1")):
+            mine = {"g": "grp", "k": "kind", "a": "1"}[level]
+            ctes.append(f"d_{level}_{f} AS (SELECT {key} AS k, rebal_date AS date, min(panel_id) AS id FROM feature_panel WHERE {good} GROUP BY ALL)")
+            ctes.append(
+                f"n_{level}_{f} AS (SELECT c.grp, c.kind, c.date, arg_min(d.id, (abs(date_diff('day', d.date, c.date)), d.date)) AS id FROM c_{f} c JOIN d_{level}_{f} d ON d.k IS NOT DISTINCT FROM c.{mine} GROUP BY ALL)"
+                if level != "a" else f"n_a_{f} AS (SELECT c.grp, c.kind, c.date, arg_min(d.id, (abs(date_diff('day', d.date, c.date)), d.date)) AS id FROM c_{f} c, d_a_{f} d GROUP BY ALL)"
+            )
+        same = "IS NOT DISTINCT FROM"
+        ctes.append(
+            f"p_{f} AS (SELECT c.*, coalesce(g.id, k.id, a.id) AS id FROM c_{f} c LEFT JOIN n_g_{f} g ON g.grp {same} c.grp AND g.kind {same} c.kind AND g.date = c.date "
+            f"LEFT JOIN n_k_{f} k ON k.grp {same} c.grp AND k.kind {same} c.kind AND k.date = c.date LEFT JOIN n_a_{f} a ON a.grp {same} c.grp AND a.kind {same} c.kind AND a.date = c.date)"
+        )
+        joins += f" LEFT JOIN p_{f} ON NOT coalesce({good.replace(f, 'r.' + f)}, false) AND p_{f}.grp {same} r.country_code AND p_{f}.kind {same} r.dm_em_flag AND p_{f}.date = r.rebal_date LEFT JOIN feature_panel o_{f} ON o_{f}.panel_id = p_{f}.id"
+        cols.append(
+            f"CASE WHEN {good.replace(f, 'r.' + f)} THEN r.{f} ELSE o_{f}.{f} END AS {f}, p_{f}.id IS NOT NULL AS {f}_filled, p_{f}.id AS {f}_donor, CAST(abs(date_diff('day', o_{f}.rebal_date, r.rebal_date)) AS INT) AS {f}_distance"
+        )
+    return f"WITH {', '.join(ctes)} SELECT r.panel_id, r.country_code, r.rebal_date, {', '.join(cols)} FROM feature_panel r{joins}"
+
+
 ORACLE = {
     "p2_grid": _P2 + f"SELECT ric, {_END} AS rebal_date, v AS value, dt AS reading_date, CASE WHEN gq = q THEN n ELSE 0 END AS n_readings, gq > q AS filled, CAST(gq - q AS INT) AS periods_since FROM g",
     "p2_found": _P2 + f"SELECT ric, strftime({_END}, '%Y-%m-%d') AS rebal_date FROM g WHERE gq > q",
     "p4_known": _P4 + "SELECT panel_id, series, fact_id, period_date, available_date FROM j WHERE n = 1",
     "p4_found": _P4 + "SELECT panel_id, fact_id FROM j WHERE n = 1",
+    "p7_filled": _p7_filled_sql(),
     "p7_found": _p7_sql(),
 }

@@ -88,11 +88,16 @@ def test_hot_deck(spark):
     assert out[2].yield_spread_bps == 10.0 and out[2].yield_spread_bps_donor == 1 and out[2].yield_spread_bps_distance == 91 and out[2].yield_spread_bps_filled
     assert out[1].fx_reserves_mo == 0.0 and not out[1].fx_reserves_mo_filled  # a zero is an observation
     assert out[2].cds_5y == 7.0 and out[2].cds_5y_donor == 4  # no donor in the issuer: same kind and date
-    assert out[5].yield_spread_bps is not None and out[6].yield_spread_bps is None and out[6].yield_spread_bps_filled
+    assert out[5].yield_spread_bps is not None and out[6].yield_spread_bps == 10.0 and out[6].yield_spread_bps_donor == 1 and out[6].yield_spread_bps_distance is None
     assert out[7].yield_spread_bps == out[2].yield_spread_bps
     found = {tuple(r) for r in filled_cells(hot_deck(spark.createDataFrame(rows, CELL))).collect()}
     assert (2, "coverage_tier") in found and (1, "fx_reserves_mo") not in found and (4, "fx_reserves_mo") in found
     assert hot_deck(spark.createDataFrame([], CELL)).count() == 0
+    bare = [(*r[:4], None, *r[5:]) for r in rows]  # a field that nobody observes is filled nowhere
+    bare = hot_deck(spark.createDataFrame(bare, CELL))
+    assert not any(r.yield_spread_bps_filled or r.yield_spread_bps is not None for r in bare.collect())
+    assert "yield_spread_bps" not in {r.field_name for r in filled_cells(bare).collect()}
+    assert "Window" in filled_cells(hot_deck(spark.createDataFrame(rows, CELL)))._jdf.queryExecution().executedPlan().toString()  # marks come from the donor scans
 
 
 def test_hot_deck_equals_brute_force(spark):
