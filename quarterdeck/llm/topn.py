@@ -1,10 +1,10 @@
 """Top N items of every group by merging sorted runs with a loser tree.
 
-The items are written once as bucketed runs in the shared folder: a bucket holds whole groups' keys, a run
-is one salted share of a bucket, ordered by group and score.  A run keeps at most N
-items of a group (no later item can enter the top N), so however large a group is, no
-task holds more than ``runs * N`` items of it.  One task per bucket then merges the bucket's runs with
-a loser tree and, after N outputs of a group, seeks in every run to the next group.
+The items are written once as runs in the shared folder: a run is a partition of the input, ordered by group and
+score where it lies.  A run keeps at most N items of a group (no later item can enter the top N), so nothing but candidates ever
+moves, and however large a group is, it brings at most N items a run.  The stored items are then dealt to buckets of whole
+groups, as many as their number asks for.  A run's items reach a bucket in their stored order, so a task merges the
+bucket's runs with a loser tree as they are and, after N outputs of a group, seeks in every run to the next group.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 
 from ..session import shuffle_width, written
 
-#: Salted shares of a bucket.
-RUNS = 8
+#: Stored items that a bucket should hold on average.
+BUCKET_ITEMS = 250_000
 
 
 class LoserTree:
@@ -103,7 +103,37 @@ def merge_runs(runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int) ->
     return out_run, out_pos, out_rank
 
 
-def top_n(df: DataFrame, group: list[str], score: str, tie: str, n: int, runs: int = RUNS) -> DataFrame:
+def _in_order(grp: pa.Array, score: pa.Array, tie: pa.Array, h: pa.Array) -> bool:
+    """Whether rows are ordered by group, score downwards, tie and hash."""
+    equal, ok = None, None
+    for c, upwards in ((grp, True), (score, False), (tie, True), (h, True)):
+        before, after = (c[:-1], c[1:]) if upwards else (c[1:], c[:-1])
+        less, same = pc.less(before, after), pc.equal(before, after)
+        ok = less if ok is None else pc.or_(ok, pc.and_(equal, less))
+        equal = same if equal is None else pc.and_(equal, same)
+    return bool(pc.all(pc.or_(ok, equal), min_count=0).as_py())
+
+
+def _merge_bucket(bucket: pa.Table, n: int) -> tuple[pa.Table, list[int]]:
+    """The bucket's first n rows of every group, and their ranks.
+
+    Runs are told apart by a stable partition that keeps the stored order; only a run that was read in pieces (a
+    file of several splits) is sorted anew.
+    """
+    runs, parts = [], []
+    for r in pc.unique(bucket["run"]).to_pylist():
+        part = bucket.filter(pc.equal(bucket["run"], r)).combine_chunks()
+        cols = [part[c].combine_chunks() if isinstance(part[c], pa.ChunkedArray) else part[c] for c in ("grp", "score", "tie", "h")]
+        if not _in_order(*cols):
+            part = part.sort_by([("grp", "ascending"), ("score", "descending"), ("tie", "ascending"), ("h", "ascending")])
+        parts.append(part)
+        runs.append((part["grp"].to_numpy(), part["score"].to_numpy(), part["tie"].to_numpy()))
+    run, at, rank = merge_runs(runs, n)
+    base = np.cumsum([0, *(len(p) for p in parts)])
+    return pa.concat_tables(parts).take(pa.array(base[np.array(run, dtype=int)] + np.array(at, dtype=int))), rank
+
+
+def top_n(df: DataFrame, group: list[str], score: str, tie: str, n: int, bucket_items: int = BUCKET_ITEMS) -> DataFrame:
     """The n rows of each group with the highest score, ties by ``tie`` upwards, with ``rank_in_group`` from 1.
 
     Rows with a NULL or NaN score don't take part.  NULL is a group value like any other; NULL ties come
@@ -114,38 +144,25 @@ def top_n(df: DataFrame, group: list[str], score: str, tie: str, n: int, runs: i
     if n < 1:
         raise ValueError("n must be at least 1")
     spark = df.sparkSession
-    buckets = shuffle_width(spark)
     payload = F.struct(*(F.col(f"`{c}`") for c in df.columns))
     rows = df.filter(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))).select(
         F.to_json(F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(group))), {"ignoreNullFields": "false"}).alias("grp"),
         F.col(score).cast("double").alias("score"), F.coalesce(F.col(tie).cast("string"), F.lit("")).alias("tie"), payload.alias("row"),
     )
     rows = rows.withColumn("h", F.xxhash64("row"))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("grp"), F.lit(buckets)).cast("int")).withColumn("run", F.pmod(F.col("h"), F.lit(runs)).cast("int"))
-    sorted_runs = rows.repartition(max(buckets, runs), "bucket", "run").sortWithinPartitions("bucket", "run", "grp", F.desc("score"), "tie", "h")
-    # A partition may hold several runs; they are kept apart by (bucket, run) in the group key.
-    keyed = sorted_runs.withColumn("grp", F.concat_ws("\u0001", F.col("bucket").cast("string"), F.col("run").cast("string"), "grp"))
-
-    def truncate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _truncate(batches, n)
-
-    stored = written(keyed.mapInArrow(truncate, keyed.schema), "runs")
-
-    def merge(bucket: pa.Table) -> pa.Table:
-        order = [(c, "descending" if c == "score" else "ascending") for c in ("run", "grp", "score", "tie", "h")]
-        bucket = bucket.combine_chunks().sort_by(order)
-        run_of = bucket["run"].to_numpy()
-        base = np.flatnonzero(np.r_[True, run_of[1:] != run_of[:-1]])
-        # The part behind the run number; runs of one bucket share the group's own key.
-        own = pc.replace_substring_regex(bucket["grp"], "^[^\u0001]*\u0001[^\u0001]*\u0001", "").to_numpy(zero_copy_only=False)
-        score, tie = bucket["score"].to_numpy(), bucket["tie"].to_numpy()
-        ends = np.r_[base[1:], len(run_of)]
-        run, at, rank = merge_runs([(own[i:j], score[i:j], tie[i:j]) for i, j in zip(base, ends)], n)
-        where = base[np.array(run, dtype=int)] + np.array(at, dtype=int)
-        return pa.table({"row": bucket["row"].take(pa.array(where)), "rank_in_group": pa.array(rank, pa.int32())})
+    keyed = rows.sortWithinPartitions("grp", F.desc("score"), "tie", "h").withColumn("run", F.spark_partition_id())
+    stored = written(keyed.mapInArrow(lambda b: _truncate(b, n), keyed.schema), "runs")
+    buckets = max(shuffle_width(spark), -(-stored.count() // bucket_items))  # footers only
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if held:
+            out, rank = _merge_bucket(pa.Table.from_batches(held), n)
+            table = pa.table({"row": out["row"], "rank_in_group": pa.array(rank, pa.int32())})
+            yield from table.to_batches()
 
     out = T.StructType([T.StructField("row", stored.schema["row"].dataType), T.StructField("rank_in_group", T.IntegerType())])
-    merged = stored.groupBy("bucket").applyInArrow(merge, out)
+    merged = stored.repartition(buckets, "grp").mapInArrow(merge, out)  # the exchange appends a run's blocks as they were stored
     return merged.select(*(F.col(f"row.`{c}`") for c in df.columns), "rank_in_group")
 
 
