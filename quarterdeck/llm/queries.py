@@ -45,6 +45,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_survivors(spark, d).select("group_id", "rating_raw_id", "outlook_raw_id", "date_raw_id")
 
 
+def p3_majority(spark: SparkSession, d: str) -> DataFrame:
+    """The same groups with every note as one vote: token by token the majority decides, and trust only ties."""
+    return survivors(load(spark, d, "rating_raw"), load(spark, d, "source_trust"), vote="notes")
+
+
 def p6_top(spark: SparkSession, d: str) -> DataFrame:
     """The five issuers with the highest predicted excess return of every run and date."""
     best = top_n(latest_scored(load(spark, d, "return_signals")), ["run_id", "rebal_date"], "predicted_excess_return", "country_code", 5)
@@ -90,7 +95,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return rates(p10_rows(spark, d))
 
 
-QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p1_compare": p1_compare, "p3_survivors": p3_survivors, "p3_found": p3_found, "p6_top": p6_top, "p6_found": p6_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fills": p9_fills, "p10_rows": p10_rows, "p10_found": p10_found, "p10_rates": p10_rates}
+QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p1_compare": p1_compare, "p3_survivors": p3_survivors, "p3_found": p3_found, "p3_majority": p3_majority, "p6_top": p6_top, "p6_found": p6_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fills": p9_fills, "p10_rows": p10_rows, "p10_found": p10_found, "p10_rates": p10_rates}
 
 _MARKS = ", ".join(f"'{m}'" for m in NO_STATEMENT)
 _P3 = f"""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quarterdeck.llm import queries as q
 from quarterdeck.llm.clusters import Shape, assign, cluster, dense_leaves, describe, ward_in_contact
 from quarterdeck.llm.packing import best_fit_decreasing, fills, local_search, pack, pack_block
-from quarterdeck.llm.survivor import consensus, distance, merge_profiles, profile, survivors, tokens
+from quarterdeck.llm.survivor import consensus, distance, merge_profiles, pick, profile, survivors, tokens
 from quarterdeck.llm.tokens import TOKENIZER_DIR, encode, token_counts, vocabulary
 from quarterdeck.llm.topn import LoserTree, latest_scored, merge_runs, top_n
 from quarterdeck.llm.truncated import build_trie, ending, line_shape, look_up, rates, truncated
@@ -148,6 +148,48 @@ def test_alignment_and_vote():
     assert distance(["a", "b"], ["a", "c", "b"]) == 1 and distance([], ["x"]) == 1
 
 
+def _vote_by_hand(values, notes):
+    """Majority per token position of values of equally many tokens, then the value with the fewest differing tokens."""
+    split = [tokens(v) for v in values]
+    goal = []
+    for column in zip(*split):
+        votes = {}
+        for t, n in zip(column, notes):
+            votes[t] = votes.get(t, 0) + n
+        goal.append(max(votes, key=votes.get))
+    return values[min(range(len(values)), key=lambda i: (sum(a != b for a, b in zip(split[i], goal)), i))]
+
+
+def test_majority_equals_brute_force(spark):
+    """Weights that can outvote a better place: against counting by hand on values of equally many tokens."""
+    rng = random.Random(5)
+    rows, k = [], 0
+    for g in range(80):
+        for _ in range(rng.randint(2, 9)):
+            rating = f"{rng.choice(['AA', 'BB', 'CC'])} {rng.choice(['one', 'two'])} {rng.choice(['x', 'y', 'z'])}"
+            rows.append((k, f"c{g}", "a", rating, rng.choice(["Stable", "Negative"]), D(2020, 5, rng.randint(1, 3)), rng.choice("ABC"), dt.datetime(2020, 1, rng.randint(1, 28)), "", 0))
+            k += 1
+    ranks = {"A": 1, "B": 2, "C": 3}
+    trust = spark.createDataFrame([(s, f, r) for s, r in ranks.items() for f in ("rating", "outlook", "date")], TRUST)
+    df = spark.createDataFrame(rows, RAW)
+    got = {r.country: r for r in survivors(df, trust, vote="notes").collect()}
+    outvoted = 0
+    for g in range(80):
+        mine = [r for r in rows if r[1] == f"c{g}"]
+        for field, at in (("rating", 3), ("outlook", 4)):
+            best = {}
+            for r in mine:
+                place = (ranks[r[6]], -r[7].timestamp(), r[0])
+                v = best.setdefault(r[at], [place, 0])
+                v[0], v[1] = min(v[0], place), v[1] + 1
+            order = sorted(best, key=lambda v: best[v][0])  # noqa: B023
+            want = _vote_by_hand(order, [best[v][1] for v in order])
+            assert got[f"c{g}"][field] == want
+            outvoted += want != order[0]
+    assert outvoted > 20  # the vote decides: often against the best placed value
+    assert pick([["a"], ["b"]], [1.0, 2.0]) == 1 and pick([["a"], ["b"]], [1.0, 1.0]) == 0
+
+
 # top n
 
 
