@@ -6,11 +6,11 @@ the vocabulary of the *inner* tokens of all texts, and how often structural line
 (lists, tables, headings) of every shape occur complete inside texts: shapes are looked up as words are.
 
 Final tokens are then looked up in a trie of the vocabulary.  The trie is distributed:
-its two upper levels are a table of word beginnings, the tries below them are built shard by shard,
-so no task holds more than the words of its shard.  A final token that is no known word but a proper prefix of
-known words was cut.  Ends that break off between words count as cut when the text uses sentences
-or markup at all and its last line has no shape that occurs complete.  Where the cuts of a source pile up at one length
-(characters or bytes), open ends at that length count as cut too; a complete end never does.
+its upper levels are a table of word beginnings, the tries below them are built shard by shard, and
+a beginning of very many words is split at a deeper level, so no task holds more than the words of its shard.  A final
+token that is no known word but a proper prefix of known words was cut.  Next comes length: where the open ends of a
+source pile up at one length (characters or bytes), they were cut there; a complete end never was.  Marks, open markup,
+sentences and line shapes judge only what neither the trie nor a length explains: a text broken off between words.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ SHAPE_SUPPORT = 5
 LIMIT_SUPPORT, LIMIT_SHARE = 3, 0.5
 #: Least share of a source's cuts that pile up at a limit; scattered cuts that share a length by chance don't.
 LIMIT_PILE = 0.02
+#: Words to a shard of the trie: beginnings of more are split at a deeper level.
+SHARD_WORDS = 200_000
 #: Characters that a worker keeps as lines already seen.
 LINE_MEMORY_CHARS = 32_000_000
 
@@ -86,32 +88,37 @@ def _complete(line: str) -> bool | None:
     return None if line[0] in STRUCTURAL else False
 
 
+def _last_token(line: str) -> str:
+    """The word at the very end of a line, or ''."""
+    m = None
+    for m in _WORD.finditer(line):
+        pass
+    return m[0] if m and m.end() == len(line) else ""
+
+
 def ending(text: str | None) -> tuple[str, str, str]:
     """Verdict (whole, cut, prose, bare, shape), final token, shape of the last line.
 
-    An open end waits for the vocabulary: of prose, of a text without sentences and markup (bare), or of a
-    structural line (shape), which waits for the shapes too.  NULL and blank texts are whole.
+    A text with a cut's mark or open markup is cut.  Other open ends wait for the vocabulary: of prose, of a text without
+    sentences and markup (bare), or of a structural line (shape), which waits for the shapes too.  NULL and blank texts are whole.
     """
     s = text.rstrip() if text else ""
     if not s:
         return "whole", "", ""
     if any(s.endswith(m) for m in CUT_MARKS):
         body = next(s[: -len(m)] for m in sorted(CUT_MARKS, key=len, reverse=True) if s.endswith(m)).rstrip()
-        return ("whole" if not body or (body[-1] in SENTENCE_ENDS and not s.endswith("�")) else "cut"), "", ""
-    if left_open(s):
-        return "cut", "", ""
+        if not body or (body[-1] in SENTENCE_ENDS and not s.endswith("�")):
+            return "whole", "", ""
+        return "cut", _last_token(body[body.rfind("\n") + 1 :].strip()), ""
     line = s[s.rfind("\n") + 1 :].strip()
+    if left_open(s):
+        return "cut", _last_token(line), ""
     done = _complete(line)
     if done:
         return "whole", "", ""
-    m = None
-    for m in _WORD.finditer(line):
-        pass
-    token = m[0] if m and m.end() == len(line) else ""
-    styled = bool(_HAS_STYLE.search(s))
     if done is None:
-        return "shape", token, line_shape(line)
-    return ("prose" if styled else "bare"), token, ""
+        return "shape", _last_token(line), line_shape(line)
+    return ("prose" if _HAS_STYLE.search(s) else "bare"), _last_token(line), ""
 
 
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,30 +202,50 @@ def _shard(tokens: pa.Table, words: pa.Table) -> pa.Table:
     return pa.table({"item": pa.array(asked, pa.string()), "known": pa.array([k for k, _ in found], pa.bool_()), "prefix": pa.array([p for _, p in found], pa.bool_())})
 
 
-def _looked_up(items: DataFrame, words: DataFrame) -> DataFrame:
+def _upper(items: DataFrame, words: DataFrame, low: int, high: int) -> DataFrame:
+    """Items of ``low`` to ``high - 1`` characters against the trie's levels of these depths, kept as a table of beginnings."""
+    n = F.length("item")
+    levels = words.filter(n >= low).select(F.explode(F.sequence(F.lit(low), F.least(n, F.lit(high - 1)))).alias("k"), "item")
+    table = levels.groupBy(F.expr("substring(item, 1, k)").alias("item")).agg(F.max(F.length("item") == F.col("k")).alias("known"), F.max(F.length("item") > F.col("k")).alias("prefix"))
+    no = F.lit(False)
+    return items.filter((n >= low) & (n < high)).join(table, "item", "left").select("item", F.coalesce("known", no).alias("known"), F.coalesce("prefix", no).alias("prefix"))
+
+
+def _looked_up(items: DataFrame, words: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     """``item, known, prefix`` of every item against the trie of the words: known as a word, and a proper prefix of words.
 
-    The trie's upper levels, single characters as words and as beginnings of longer words, are a table; the levels
-    below are built shard by shard, by the first two characters.
+    The trie's upper levels are a table; the levels below are built shard by shard, by the first two characters.
+    Beginnings of more than ``shard_words`` words are looked at again by twice as many characters.
     """
-    width = 4 * max(8, shuffle_width(items.sparkSession))
-    shard = F.pmod(F.xxhash64(F.substring("item", 1, 2)), F.lit(width)).alias("shard")
-    deep = (
-        items.filter("length(item) > 1").select(shard, "item").groupBy("shard")
-        .cogroup(words.filter("length(item) > 1").select(shard, "item").groupBy("shard"))
-        .applyInArrow(lambda t, w: _shard(t, w), "item string, known boolean, prefix boolean")
-    )
-    upper = words.groupBy(F.substring("item", 1, 1).alias("item")).agg(F.max(F.length("item") == 1).alias("known"), F.max(F.length("item") > 1).alias("prefix"))
-    shallow = items.filter("length(item) = 1").join(upper, "item", "left")
-    return deep.unionByName(shallow.select("item", F.coalesce("known", F.lit(False)).alias("known"), F.coalesce("prefix", F.lit(False)).alias("prefix")))
+    spark = items.sparkSession
+    out, depth = _upper(items, words, 1, 2), 2
+    width = max(4 * max(8, shuffle_width(spark)), -(-words.count() // shard_words))
+    while True:
+        n = F.length("item")
+        items, words, begin = items.filter(n >= depth), words.filter(n >= depth), F.substring("item", 1, depth)
+        heavy = cut_lineage(words.groupBy(begin.alias("begin")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > shard_words).select("begin"))
+        some = heavy.count()
+        asked, held = items.withColumn("begin", begin), words.withColumn("begin", begin)
+        light_asked, light_held = (asked.join(heavy, "begin", "left_anti"), held.join(heavy, "begin", "left_anti")) if some else (asked, held)
+        shard = F.pmod(F.xxhash64("begin"), F.lit(width)).alias("shard")
+        deep = (
+            light_asked.select(shard, "item").groupBy("shard").cogroup(light_held.select(shard, "item").groupBy("shard"))
+            .applyInArrow(lambda t, w: _shard(t, w), "item string, known boolean, prefix boolean")
+        )
+        out = out.unionByName(deep)
+        if not some:
+            return out
+        items, words = asked.join(heavy, "begin", "left_semi").select("item"), held.join(heavy, "begin", "left_semi").select("item")
+        out = out.unionByName(_upper(items, words, depth, 2 * depth))
+        depth *= 2
 
 
 def truncated(df: DataFrame, row_id: str, source: str, text: str) -> DataFrame:
     """``row_id, source, n_chars, n_bytes, reason`` of every row; reason is NULL for whole texts.
 
-    Reasons: ``end`` (mark or open markup), ``token`` (unknown proper prefix of known words), ``sentence`` (broken off
-    between words), ``shape`` (a list, table or heading line of a shape that is the beginning of usual shapes and none itself), ``limit`` (open
-    end at a length where the source's cuts pile up).  NULL, empty and blank texts are whole, as are texts without
+    Reasons, the first that holds: ``token`` (the final token is an unknown proper prefix of known words), ``limit`` (open
+    end at a length where the source's cuts pile up), ``end`` (mark or open markup), ``sentence`` (broken off between words),
+    ``shape`` (a list, table or heading line of a shape that is the beginning of usual shapes and none itself).  NULL, empty and blank texts are whole, as are texts without
     sentences and markup that end in a known word.  A NULL source is a source of its own.  Whole texts are read,
     whatever their length; other columns are ignored.
     """
@@ -230,7 +257,7 @@ def truncated(df: DataFrame, row_id: str, source: str, text: str) -> DataFrame:
     inner = cut_lineage(inner)
 
     words = inner.filter("kind = 'w'").select("item")
-    tokens = ends.filter("verdict IN ('prose', 'bare', 'shape') AND token <> ''").select(F.col("token").alias("item")).distinct()
+    tokens = ends.filter("verdict <> 'whole' AND token <> ''").select(F.col("token").alias("item")).distinct()
     broken = _looked_up(tokens, words).filter("prefix AND NOT known").select(F.col("item").alias("token"), F.lit(True).alias("broken"))
     usual = inner.filter(f"kind = 's' AND n >= {SHAPE_SUPPORT}").select("item")
     shapes = ends.filter("verdict = 'shape'").select(F.col("shape").alias("item")).distinct()
@@ -240,8 +267,8 @@ def truncated(df: DataFrame, row_id: str, source: str, text: str) -> DataFrame:
         ends.join(broken, "token", "left").join(partial, "shape", "left")
         .withColumn(
             "reason",
-            F.when(F.col("verdict") == "cut", "end")
-            .when(F.col("verdict").isin("prose", "bare", "shape") & F.col("broken"), "token")
+            F.when((F.col("verdict") != "whole") & F.col("broken"), "token")
+            .when(F.col("verdict") == "cut", "end")
             .when(F.col("verdict") == "prose", "sentence")
             .when((F.col("verdict") == "shape") & F.col("partial"), "shape"),
         )
@@ -259,7 +286,7 @@ def truncated(df: DataFrame, row_id: str, source: str, text: str) -> DataFrame:
         t = best.filter(own).select(F.col("source").alias(f"s_{n}"), F.col("v").alias(f"v_{n}"))
         judged = judged.join(t, F.col("source").eqNullSafe(F.col(f"s_{n}")) & (F.col(n) == F.col(f"v_{n}")), "left")
     at_limit = F.col("v_n_chars").isNotNull() | F.col("v_n_bytes").isNotNull()
-    reason = F.coalesce("reason", F.when(F.col("verdict").isin("bare", "shape") & at_limit, F.lit("limit")))
+    reason = F.when(F.col("reason") == "token", "token").when((F.col("verdict") != "whole") & at_limit, "limit").otherwise(F.col("reason"))
     return judged.select(F.col("id").alias(row_id), "source", "n_chars", "n_bytes", reason.alias("reason"))
 
 
