@@ -1,8 +1,8 @@
 """Fixed-capacity containers filled with items by swap-based local search.
 
-Items are dealt into blocks of bounded size by a hash of their row, so blocks resemble each
-other and none grows with the data.  A block starts from best fit decreasing; then its
-emptiest containers give items away: an item moves where it fits, one item goes against one
+Items are dealt into blocks of bounded size by a hash of their id and copy number, so blocks resemble each
+other, none grows with the data, and the containers don't depend on partitioning.  A block starts from best fit
+decreasing; then its underfull containers, the emptiest first, give items away: an item moves where it fits, one item goes against one
 smaller item of another container, or two items against one, whenever that raises the sum of squared fills.
 Containers empty out and vanish, until a round brings no gain.  The containers that stay underfull in
 their blocks are taken apart and packed together once more in blocks of leftovers.
@@ -24,8 +24,6 @@ from ..session import cut_lineage
 #: Items to a block, and containers filled less than that are packed again.
 BLOCK_ITEMS = 4000
 WELL_FILLED = 0.985
-#: Rounds of the local search in a block; it ends earlier when nothing improves.
-ROUNDS = 12
 
 
 def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -47,17 +45,34 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return bin_of
 
 
-def local_search(sizes: np.ndarray, bin_of: np.ndarray, capacity: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Raise the sum of squared fills by moves, one-for-one and two-for-one exchanges out of the emptiest containers."""
+def _pair_sums(sizes: np.ndarray, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All different sums of two of the items ``mine``, upwards, and two items of each (items of one size are alike)."""
+    distinct, first, count = np.unique(sizes[mine], return_index=True, return_counts=True)
+    a, b = np.triu_indices(len(distinct))
+    keep = (a != b) | (count[a] > 1)
+    a, b = a[keep], b[keep]
+    sums, at = np.unique(distinct[a] + distinct[b], return_index=True)
+    i, k = mine[first[a[at]]], mine[first[b[at]]]
+    for n in np.flatnonzero(i == k).tolist():  # twice one size: the next item of that size
+        k[n] = mine[np.flatnonzero(sizes[mine] == sizes[i[n]])[1]]
+    return sums, i, k
+
+
+def local_search(sizes: np.ndarray, bin_of: np.ndarray, capacity: int) -> np.ndarray:
+    """Raise the sum of squared fills by moves, one-for-one and two-for-one exchanges until none raises it.
+
+    Every underfull container gives, against every item of the block, in each round; every accepted step raises the sum,
+    which is bounded, so the search ends.
+    """
     bin_of = bin_of.copy()
     fill = np.bincount(bin_of, weights=sizes).astype(np.int64)
-    for _ in range(rounds):
+    gained = True
+    while gained:
+        gained = False
         live = np.flatnonzero((fill > 0) & (fill < capacity))
         if len(live) < 2:
             break
-        gained = False
-        donors = live[np.argsort(fill[live], kind="stable")][: max(4, len(live) // 8)]
-        for donor in donors.tolist():
+        for donor in live[np.argsort(fill[live], kind="stable")].tolist():
             mine = np.flatnonzero((bin_of == donor) & (sizes > 0))
             for i in mine[np.argsort(-sizes[mine], kind="stable")].tolist():
                 size = int(sizes[i])
@@ -74,35 +89,29 @@ def local_search(sizes: np.ndarray, bin_of: np.ndarray, capacity: int, rounds: i
                 up = size - sizes  # one for one: the other container gains up
                 ok = (up > 0) & (sizes > 0) & (up <= gap[bin_of]) & (fill[bin_of] + up > fill[donor]) & (bin_of != donor)
                 if ok.any():
-                    best = np.where(ok, up, 0)
-                    j = int(np.argmax(best))
+                    j = int(np.argmax(np.where(ok, up, 0)))
                     to, d = int(bin_of[j]), int(up[j])
                     bin_of[i], bin_of[j] = to, donor
                     fill[to] += d
                     fill[donor] -= d
                     gained = True
-            mine = np.flatnonzero((bin_of == donor) & (sizes > 0))
-            if len(mine) >= 2:  # two for one: the two smallest-loss pairs against one item elsewhere
-                mine = mine[np.argsort(-sizes[mine], kind="stable")][:12]
-                a, b = np.triu_indices(len(mine), 1)
-                pair = sizes[mine[a]] + sizes[mine[b]]
-                order = np.argsort(-pair, kind="stable")[:20]
-                for k in order.tolist():
-                    i, i2 = int(mine[a[k]]), int(mine[b[k]])
-                    up = int(pair[k]) - sizes
-                    gap = capacity - fill
-                    ok = (up > 0) & (sizes > 0) & (up <= gap[bin_of]) & (fill[bin_of] + up > fill[donor]) & (bin_of != donor)
-                    if ok.any():
-                        j = int(np.argmax(np.where(ok, up, 0)))
-                        to, d = int(bin_of[j]), int(up[j])
-                        bin_of[i] = bin_of[i2] = to
-                        bin_of[j] = donor
-                        fill[to] += d
-                        fill[donor] -= d
-                        gained = True
-                        break
-        if not gained:
-            break
+            while True:  # two for one: the largest pair that fits in the place of an item elsewhere
+                mine = np.flatnonzero((bin_of == donor) & (sizes > 0))
+                if len(mine) < 2:
+                    break
+                sums, first, second = _pair_sums(sizes, mine)
+                best = np.searchsorted(sums, sizes + (capacity - fill)[bin_of], side="right") - 1
+                up = sums[np.maximum(best, 0)] - sizes
+                ok = (best >= 0) & (up > 0) & (sizes > 0) & (fill[bin_of] + up > fill[donor]) & (bin_of != donor)
+                if not ok.any():
+                    break
+                j = int(np.argmax(np.where(ok, up, 0)))
+                to, d = int(bin_of[j]), int(up[j])
+                bin_of[first[best[j]]] = bin_of[second[best[j]]] = to
+                bin_of[j] = donor
+                fill[to] += d
+                fill[donor] -= d
+                gained = True
     return bin_of
 
 
@@ -119,7 +128,7 @@ _OUT = "pack_id int, capacity int, id bigint, piece int, n_tokens int, block big
 
 
 def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["id", "piece"], kind="stable")
+    pdf = pdf.sort_values(["id", "piece", "n_tokens"], kind="stable")
     sizes = pdf["n_tokens"].to_numpy()
     bins = pack_block(sizes, int(pdf["capacity"].iloc[0]))
     fill = np.bincount(bins, weights=sizes).astype(np.int64)
@@ -138,13 +147,15 @@ def pack(items: DataFrame, row_id: str, size: str, capacities: DataFrame, block_
     n = items.count() if n_rows is None else n_rows
     blocks = max(1, -(-n // block_items))
     rows = items.select(F.col(row_id).cast("bigint").alias("id"), F.greatest(F.coalesce(F.col(size).cast("int"), F.lit(0)), F.lit(0)).alias("n"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(blocks)))
+    # Repeated rows are alike, so their copies are counted and numbered: a key that no partitioning can change.
+    copies = rows.groupBy("id", "n").agg(F.count(F.lit(1)).alias("c")).select("id", "n", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("c"))).alias("copy"))
+    rows = copies.withColumn("block", F.pmod(F.xxhash64("id", "copy", "n"), F.lit(blocks)))
     per = rows.crossJoin(F.broadcast(caps))  # one row per item and capacity asked for
     whole = F.when(F.col("n") > F.col("capacity"), F.floor(F.col("n") / F.col("capacity"))).otherwise(0).cast("int")
     per = per.withColumn("whole", whole).withColumn("rest", F.col("n") - F.col("whole") * F.col("capacity"))
     full = per.filter("whole > 0").select(
         "pack_id", "id", F.explode(F.sequence(F.lit(0), F.col("whole") - 1)).alias("piece"), F.col("capacity").alias("n_tokens"),
-        F.concat_ws("-", F.lit("full"), F.col("id").cast("string"), F.hex(F.xxhash64("block", F.monotonically_increasing_id()))).alias("owner"),
+        F.concat_ws("-", F.lit("full"), F.coalesce(F.col("id").cast("string"), F.lit("none")), F.col("n").cast("string"), F.col("copy").cast("string")).alias("owner"),
     )
     rest = per.filter("whole = 0 OR rest > 0").select("pack_id", "capacity", "id", F.col("whole").alias("piece"), F.col("rest").cast("int").alias("n_tokens"), "block")
     first = cut_lineage(rest.groupBy("pack_id", "block").applyInPandas(_pack, _OUT))

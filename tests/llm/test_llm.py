@@ -14,7 +14,7 @@ from quarterdeck.llm.packing import best_fit_decreasing, fills, local_search, pa
 from quarterdeck.llm.survivor import consensus, distance, merge_profiles, pick, profile, survivors, tokens
 from quarterdeck.llm.tokens import TOKENIZER_DIR, encode, token_counts, vocabulary
 from quarterdeck.llm.topn import LoserTree, latest_scored, merge_runs, top_n
-from quarterdeck.llm.truncated import build_trie, ending, line_shape, look_up, rates, truncated
+from quarterdeck.llm.truncated import _looked_up, build_trie, ending, line_shape, look_up, rates, truncated
 
 from ..conftest import DATA
 from ..helpers import same_as_sql
@@ -303,7 +303,7 @@ def test_local_search_only_improves():
         first = best_fit_decreasing(sizes, 512)
         bad = np.arange(400) // 2 if (sizes[::2] + sizes[1::2]).max() <= 512 else np.arange(400)
         for start in (first, bad):
-            better = local_search(sizes, start, 512, 40)
+            better = local_search(sizes, start, 512)
             assert _valid(sizes, better, 512)
             assert (np.bincount(better, weights=sizes) ** 2).sum() >= (np.bincount(start, weights=sizes) ** 2).sum()
         assert len(np.unique(better)) <= len(np.unique(bad))
@@ -350,6 +350,16 @@ def test_trie():
     assert line_shape("* [[Abc|mill of Abc]], 1546") == "* [[W|w w W]], 9999"
 
 
+@pytest.mark.parametrize("most", [1, 3, 1000])
+def test_heavy_beginnings_are_split(spark, most):
+    rng = random.Random(7)
+    words = sorted({"".join(rng.choices("ab", k=rng.randint(1, 9))) for _ in range(120)} | {"* W", "* W w", "* W w, w", "* W w 99"})
+    asked = sorted({w[: rng.randint(1, len(w))] for w in words} | set(words[:20]) | {"zz", "abz", "* "})
+    frame = lambda x: spark.createDataFrame([(v,) for v in x], "item string")
+    got = {r.item: (r.known, r.prefix) for r in _looked_up(frame(asked), frame(words), most).collect()}
+    assert got == {t: (t in words, any(w.startswith(t) and w != t for w in words)) for t in asked}
+
+
 def test_truncated(spark):
     full = ["The old tower stands by the river. Many people visit the castle.", "A castle was built near the harbour. The tower is tall."] * 3
     lists = [f"Places.\n\n* Alpha mill\n* Beta{i} tower\n\nEnd." for i in range(6)]
