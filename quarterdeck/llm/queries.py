@@ -16,8 +16,8 @@ from .truncated import rates, truncated
 
 def p1_members(spark: SparkSession, d: str) -> DataFrame:
     """Every panel row that belongs to a group of like debt and spread."""
-    rows, x, y = debt_and_spread(load(spark, d, "feature_panel").select("panel_id", "debt_gdp", "yield_spread_bps"))
-    return cluster(rows, "panel_id", x, y)
+    rows, coordinates = debt_and_spread(load(spark, d, "feature_panel").select("panel_id", "debt_gdp", "yield_spread_bps"))
+    return cluster(rows, "panel_id", coordinates)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:

@@ -5,11 +5,12 @@ import os
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from quarterdeck.llm import queries as q
-from quarterdeck.llm.clusters import Shape, assign, cluster, dense_leaves, describe, ward_in_contact
+from quarterdeck.llm.clusters import FeatureTree, Shape, _pairs, assign, cluster, dense_leaves, describe, group_leaves, ward
 from quarterdeck.llm.packing import best_fit_decreasing, fills, local_search, pack, pack_block
 from quarterdeck.llm.survivor import consensus, distance, merge_profiles, pick, profile, survivors, tokens
 from quarterdeck.llm.tokens import TOKENIZER_DIR, encode, token_counts, vocabulary
@@ -71,7 +72,7 @@ def _shapes(seed=0):
 def test_clusters_of_any_shape(spark):
     xy, truth = _shapes()
     df = spark.createDataFrame([(i, float(a), float(b), "x", 0) for i, (a, b) in enumerate(xy)], "id bigint, x double, y double, label string, n int")
-    got = cluster(df.repartition(5), "id", F.col("x"), F.col("y")).toPandas()
+    got = cluster(df.repartition(5), "id", [F.col("x"), F.col("y")]).toPandas()
     of = dict(zip(got.id, got.cluster_id))
     for t in range(3):
         members = {of.get(i) for i in np.flatnonzero(truth == t)} - {None}
@@ -82,31 +83,96 @@ def test_clusters_of_any_shape(spark):
     assert len(set(same)) == 3 and len(same) > 1700
     stray_in = sum(i in of for i in np.flatnonzero(truth == 3))
     assert stray_in < 20  # those that fell on a shape by chance
-    d = describe(cluster(df, "id", F.col("x"), F.col("y")), "id", 3).toPandas()
+    d = describe(cluster(df, "id", [F.col("x"), F.col("y")]), "id", 3).toPandas()
     assert sorted(d["size"]) == sorted(got.groupby("cluster_id").size()) and all(len(t) == 3 for t in d.typical)
 
 
 def test_clusters_edge_cases(spark):
     schema = "id bigint, x double, y double"
-    assert cluster(spark.createDataFrame([], schema), "id", F.col("x"), F.col("y")).count() == 0
+    assert cluster(spark.createDataFrame([], schema), "id", [F.col("x"), F.col("y")]).count() == 0
     rows = [(i, 1.0, 1.0) for i in range(40)] + [(100, None, 1.0), (101, float("nan"), 2.0), (102, 50.0, 50.0)]
-    got = cluster(spark.createDataFrame(rows, schema), "id", F.col("x"), F.col("y")).toPandas()
+    got = cluster(spark.createDataFrame(rows, schema), "id", [F.col("x"), F.col("y")]).toPandas()
     assert set(got.id) == set(range(40)) and set(got.cluster_id) == {0}
 
 
 def test_leaf_limit_coarsens_the_tree(spark):
     xy, _ = _shapes(1)
     df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(xy)], "id bigint, x double, y double")
-    got = cluster(df, "id", F.col("x"), F.col("y"), Shape(cell=0.05, max_leaves=700)).toPandas()
+    got = cluster(df, "id", [F.col("x"), F.col("y")], Shape(cell=0.05, max_leaves=700)).toPandas()
     assert got.cluster_id.nunique() >= 3
 
 
-def test_ward_merges_only_in_contact():
-    xy = np.array([[0.0, 0], [0.3, 0], [5, 0], [5.3, 0]])
-    group, merges = ward_in_contact(np.ones(4), xy, np.array([0, 1, 2, 3]), np.array([1, 0, 3, 2]))
-    assert group[0] == group[1] != group[2] == group[3] and len(merges) == 2
-    assert (assign(np.array([[0.1, 0.0], [2.5, 0]]), xy, np.floor(xy / 0.2).astype(int), group, 0.2, 0.5) == [group[0], -1]).all()
-    assert not dense_leaves(np.zeros(0), np.zeros((0, 2)), 0.2, Shape()).any()
+def _tree(x, cell=0.2, most=60_000):
+    tree = FeatureTree(cell, most)
+    for part in np.array_split(x, 7):
+        tree.insert(part)
+    at, n, ls, ss = tree.levels[0]
+    return pd.DataFrame({"at": at.tolist(), "n": n, "ls": ls.tolist(), "ss": ss}), tree
+
+
+def test_trees_merge_in_any_order():
+    x = np.random.default_rng(3).normal(0, 2, (3000, 3))
+    whole, tree = _tree(x)
+    other = FeatureTree(0.2, 60_000)
+    for part in np.array_split(x, 4)[::-1]:
+        one = FeatureTree(0.2, 60_000)
+        one.insert(part)
+        other.merge(*one.levels[0])
+    for a, b in zip(tree.levels[0], other.levels[0]):
+        assert np.allclose(a, b)
+    assert whole.n.sum() == 3000 and np.isclose(whole.ss.sum(), (x**2).sum())
+    small, tree = _tree(x, most=100)
+    assert len(small) <= 100 and tree.cut > 0 and small.n.sum() == 3000
+
+
+def test_ward_stays_in_contact_and_within_the_grain():
+    xy = np.array([[0.0, 0], [0.3, 0], [5, 0], [5.3, 0], [5.7, 0]])
+    n, ss = np.ones(5), (xy**2).sum(axis=1)
+    a, b, _ = _pairs(xy, 0.55)
+    micro = ward(n, xy, ss, a, b, 1.0)
+    assert micro[0] == micro[1] != micro[2] == micro[3] == micro[4]
+    small = ward(n, xy, ss, a, b, 0.2)
+    assert small[0] == small[1] and small[2] == small[3] != small[4]  # the nearest pair first, and no wider than the grain
+    assert (assign(np.array([[0.1, 0.0], [2.5, 0]]), xy, np.floor(xy / 0.2).astype(int), micro, 0.2, 0.5) == [micro[0], -1]).all()
+    assert not dense_leaves(np.zeros(0), np.zeros((0, 2)), Shape())[0].any()
+
+
+def _bridged(seed=0):
+    """Two dense squares and a thin bridge between them that is still denser than the background."""
+    rng = np.random.default_rng(seed)
+    left, right = rng.uniform(0, 3, (20_000, 2)), rng.uniform(0, 3, (20_000, 2)) + [6, 0]
+    bridge = np.c_[rng.uniform(3, 6, 250), 1.5 + rng.uniform(-0.15, 0.15, 250)]
+    return np.vstack([left, right, bridge, rng.uniform(-6, 15, (400, 2))])
+
+
+def _groups_of(x, shape=Shape()):
+    n, centre, _, group = group_leaves(_tree(x)[0], shape)
+    return n, centre, group
+
+
+def test_micro_clusters_decide_where_a_saddle_parts():
+    n, centre, group = _groups_of(_bridged())
+    big = {g for g in set(group.tolist()) if n[group == g].sum() > 10_000}
+    assert len(big) == 2  # the bridge's saddle is clearly emptier than the micro-clusters on both sides
+    n, centre, group = _groups_of(_bridged(), Shape(saddle=0.0))
+    assert max(n[group == g].sum() for g in set(group.tolist())) > 39_000  # connected without the saddles
+    # Ward's micro-clusters make the levels: single leaves in their place tear shapes of uneven density apart.
+    rng = np.random.default_rng(1)
+    spots = np.repeat(rng.uniform(0, 4, (12, 2)), 3000, axis=0) + rng.normal(0, 0.02, (36_000, 2))
+    uneven = np.vstack([rng.uniform(0, 4, (4000, 2)), spots, rng.uniform(-9, 14, (300, 2))])
+    shape = Shape(saddle=0.5)
+    with_ward = {g: n for n, _, group in [_groups_of(uneven, shape)] for g in group.tolist()}
+    without = {g: n for n, _, group in [_groups_of(uneven, Shape(saddle=0.5, grain=0.0))] for g in group.tolist()}
+    assert len(with_ward) < len(without)
+
+
+def test_clusters_in_three_dimensions(spark):
+    rng = np.random.default_rng(2)
+    x = np.vstack([rng.normal(0, 0.3, (400, 3)), rng.normal(0, 0.3, (400, 3)) + 4, rng.uniform(-6, 10, (60, 3))])
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "id bigint, x double, y double, z double")
+    got = cluster(df, "id", [F.col("x"), F.col("y"), F.col("z")], Shape(cell=0.3, reach=0.6, contact=0.9, attach=0.8)).toPandas()
+    of = dict(zip(got.id, got.cluster_id))
+    assert len({of.get(i) for i in range(300)} - {None}) == 1 and len({of.get(i) for i in range(400, 700)} - {None}) == 1 and of[0] != of[400]
 
 
 # survivors
