@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ratings import BEST, WORST, rating_ordinal
 from ..operators.hot_deck import NUMERIC_PLACEHOLDERS, TEXT_PLACEHOLDERS, filled_cells, hot_deck
-from ..operators.implausible import Rules, implausible
+from ..operators.implausible import Rules, implausible_fields
 from ..operators.known_at import known_at
 from ..operators.regular_grid import to_quarter_grid
 from ..session import load
@@ -35,20 +35,18 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 #: A price is positive; a quoted yield lies within these percentages; both are judged by moves.
 PRICE_RULES = Rules(lowest=1e-9)
 YIELD_RULES = Rules(lowest=-50.0, highest=500.0)
-#: Ordinals move by a few notches; a departure counts in notches.
-RATING_RULES = Rules(lowest=BEST, highest=WORST, window=4, cut_least=4.6, cut_most=4.9, by_moves=False)
+#: Ordinals move by a few notches: a departure counts in notches, which come in halves, and a third of a per mille is risked.
+RATING_RULES = Rules(lowest=BEST, highest=WORST, window=4, risk=3e-4, trim=3e-4, grid=0.5, by_moves=False)
 
 
 def p5_reasons(spark: SparkSession, d: str) -> DataFrame:
     """Every unbelievable price, yield or rating number, with the reason."""
     daily, panel = load(spark, d, "market_daily"), load(spark, d, "rating_panel")
-    prices = implausible(daily, ["ric"], "date", "mid_price", "row_id", PRICE_RULES).select(F.lit("mid_price").alias("field_name"), "row_id", "reason")
-    yields = implausible(daily, ["ric"], "date", "yldtomat", "row_id", YIELD_RULES).select(F.lit("yldtomat").alias("field_name"), "row_id", "reason")
+    market = implausible_fields(daily, ["ric"], "date", "row_id", {"mid_price": PRICE_RULES, "yldtomat": YIELD_RULES})
     rated = panel.select("country", "agency", "date", "rating_numeric", "rating_id", rating_ordinal(F.col("rating")).alias("letters"))
-    ratings = implausible(rated, ["country", "agency"], "date", "rating_numeric", "rating_id", RATING_RULES, "letters")
-    market = prices.unionByName(yields).select(F.lit("market_daily").alias("table_name"), "field_name", F.col("row_id").alias("row_key"), "reason")
-    return market.unionByName(
-        ratings.select(F.lit("rating_panel").alias("table_name"), F.lit("rating_numeric").alias("field_name"), F.col("rating_id").alias("row_key"), "reason")
+    ratings = implausible_fields(rated, ["country", "agency"], "date", "rating_id", {"rating_numeric": RATING_RULES}, {"rating_numeric": "letters"})
+    return market.select(F.lit("market_daily").alias("table_name"), "field_name", F.col("row_id").alias("row_key"), "reason").unionByName(
+        ratings.select(F.lit("rating_panel").alias("table_name"), "field_name", F.col("rating_id").alias("row_key"), "reason")
     )
 
 

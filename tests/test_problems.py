@@ -7,7 +7,7 @@ import random
 import numpy as np
 
 from quarterdeck.operators.hot_deck import filled_cells, hot_deck
-from quarterdeck.operators.implausible import Rules, departures, implausible, judge, tail_cutoff
+from quarterdeck.operators.implausible import Rules, Tail, departures, implausible, implausible_fields, judge, pooled_tail, residual_bins, source_cutoff
 from quarterdeck.operators.known_at import known_at
 from quarterdeck.operators.regular_grid import to_quarter_grid
 
@@ -152,21 +152,33 @@ def test_seldom_traded_series_are_not_stuck():
 def test_numbers_stuck_while_letters_move():
     letters = np.array([8, 9, 10, 11, 12, 12, 11, 10, 8.0])
     numbers = np.array([8, 9, 9, 9, 9, 9, 9, 10, 8.0])
-    r = judge(numbers, np.zeros(9, int), np.ones(9, int), letters, Rules(lowest=1, highest=22, by_moves=False, cut_least=4.6, cut_most=4.9))
+    r = judge(numbers, np.zeros(9, int), np.ones(9, int), letters, Rules(lowest=1, highest=22, by_moves=False, grid=0.5, risk=3e-4, trim=3e-4))
     assert [i for i in range(9) if r[i] == "stuck"] == [2, 3, 4, 5, 6]
-    same = judge(numbers, np.zeros(9, int), np.ones(9, int), numbers.copy(), Rules(by_moves=False, cut_least=4.6, cut_most=4.9))
+    same = judge(numbers, np.zeros(9, int), np.ones(9, int), numbers.copy(), Rules(by_moves=False, grid=0.5, risk=3e-4, trim=3e-4))
     assert (same == "").all()
 
 
-def test_tail_cutoff_of_an_exponential_tail():
-    z = np.random.default_rng(0).exponential(1, 20000)
-    c = tail_cutoff(z, 0.9, 1e-4)
-    assert abs(c - -math.log(1e-4)) < 1.5
+def test_tail_of_known_distributions():
+    rng = np.random.default_rng(0)
+    rules = Rules(trim=1e-4)
+    z = rng.exponential(1, 200_000)
+    tail = pooled_tail(residual_bins(z, 0.0), rules)
+    assert abs(tail.shape) < 0.05 and abs(tail.threshold + tail.over(1e-4) - -math.log(1e-4)) < 0.7
+    spiked = np.r_[z, rng.uniform(20, 50, 1500)]  # spikes don't widen the tail that judges them
+    assert abs(pooled_tail(residual_bins(spiked, 0.0), rules).over(1e-4) - tail.over(1e-4)) < 0.8
+    parts = [residual_bins(p, 0.0) for p in np.array_split(z, 7)]
+    assert np.allclose(sum(parts), residual_bins(z, 0.0))
+    assert pooled_tail(residual_bins(np.zeros(0), 0.0), rules) is None
+    # The source's own scale counts: a source of twice the residuals gets about twice the cutoff; few peaks stay near the pool's.
+    assert 1.6 < source_cutoff(rng.exponential(2, 20_000), tail, rules) / source_cutoff(rng.exponential(1, 20_000), tail, rules) < 2.2
+    assert source_cutoff(rng.exponential(2, 20), tail, rules) < 1.3 * (tail.threshold + tail.over(rules.risk))
+    assert source_cutoff(z, tail, Rules(trim=1e-4, risk=1e-4)) < source_cutoff(z, tail, rules)  # the risk is the knob
 
 
 def test_a_reading_beside_a_spike_is_none():
     n = np.array([10, 9, 8, 6, 18, 18, 7, 9, 12, 12, 12, 12.0])
-    r = judge(n, np.zeros(12, int), np.ones(12, int), None, Rules(lowest=1, highest=22, window=4, by_moves=False, cut_least=4.6, cut_most=4.9))
+    pool = Tail(1.16, 0.0, 0.58, 0.1)  # twelve readings have no tail of their own
+    r = judge(n, np.zeros(12, int), np.ones(12, int), None, Rules(lowest=1, highest=22, window=4, by_moves=False, grid=0.5, risk=3e-4, trim=3e-4), pool)
     assert [i for i in range(12) if r[i]] == [4, 5]
 
 
@@ -186,6 +198,16 @@ def test_implausible_flags_copies_and_survives_dirt(spark):
     assert implausible(spark.createDataFrame([], schema), ["ric"], "date", "value", "row_id", Rules()).count() == 0
 
 
+def test_fields_are_judged_apart(spark):
+    a, b = _series(300), _series(300, 9)
+    a[40] += 30
+    b[200] -= 30
+    rows = [("r", D(2020, 1, 1) + dt.timedelta(days=i), float(x), float(y), i) for i, (x, y) in enumerate(zip(a, b))]
+    df = spark.createDataFrame(rows, "ric string, date date, one double, two double, row_id bigint")
+    got = {tuple(r) for r in implausible_fields(df, ["ric"], "date", "row_id", {"one": Rules(), "two": Rules(highest=1e6)}).collect()}
+    assert got == {("one", 40, "spike"), ("two", 200, "spike")}
+
+
 def test_time_shards_change_no_verdict(spark):
     rng = np.random.default_rng(8)
     v = _series(4000, 4)
