@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import learners as L
 from ..functions.numbers import enough_observed
 from ..operators import evaluation as e
 from ..operators import models as mo
 from ..operators import panel as pn
+from ..operators import sharded as sh
 from ..session import cut_lineage, load
 from .base import panel, query, r6, signals
 from .logs import _EVENTS, _windows
@@ -112,9 +112,9 @@ _FEATURE_SQL = ", ".join(f"median({c}) AS m_{c}" for c in CORE)
 def o131_impute_scale(spark: SparkSession, d: str) -> DataFrame:
     """O-131, O-132: exact training medians, and population deviations after imputation."""
     t = panel(spark, d).filter(enough_observed(CORE, 0.5))
-    m = t.agg(*(F.median(c).alias(f"m_{c}") for c in CORE))
-    s = t.crossJoin(F.broadcast(m)).groupBy(*(f"m_{c}" for c in CORE)).agg(*(F.stddev_pop(F.coalesce(c, f"m_{c}")).alias(f"s_{c}") for c in CORE))  # one row
-    return s.select(*(x for c in CORE for x in (r6(f"m_{c}").alias(f"median_{c}"), r6(f"s_{c}").alias(f"sd_{c}"))))
+    m = dict(zip(CORE, sh.medians(t, CORE)))
+    s = t.agg(*(F.stddev_pop(F.coalesce(F.col(c), F.lit(m[c]).cast("double"))).alias(f"s_{c}") for c in CORE))
+    return s.select(*(x for c in CORE for x in (r6(F.lit(m[c]).cast("double")).alias(f"median_{c}"), r6(f"s_{c}").alias(f"sd_{c}"))))
 
 
 @query(
@@ -124,8 +124,7 @@ def o131_impute_scale(spark: SparkSession, d: str) -> DataFrame:
 def o133_apply_transform(spark: SparkSession, d: str) -> DataFrame:
     """O-133: a fitted transform applied to all rows."""
     t = panel(spark, d).select("panel_id", "debt_gdp")
-    m = t.agg(F.median("debt_gdp").alias("m"))
-    x = t.crossJoin(F.broadcast(m)).select("panel_id", F.coalesce("debt_gdp", "m").alias("x"))
+    x = t.select("panel_id", F.coalesce(F.col("debt_gdp"), F.lit(sh.medians(t, ["debt_gdp"])[0]).cast("double")).alias("x"))
     s = x.agg(F.avg("x").alias("a"), F.stddev_pop("x").alias("s"))
     return x.crossJoin(F.broadcast(s)).select("panel_id", r6((F.col("x") - F.col("a")) / F.col("s")).alias("z"))  # one row each
 
@@ -174,6 +173,12 @@ def o139_risk_labels(spark: SparkSession, d: str) -> DataFrame:
     return mo.label_panel(panel(spark, d), CORE)
 
 
+@query()
+def o139_mixture_labels(spark: SparkSession, d: str) -> DataFrame:
+    """O-135, O-139: walk-forward labels by Gaussian mixtures."""
+    return mo.label_panel(panel(spark, d), CORE, "gmm")
+
+
 @query()
 def o137_density_labels(spark: SparkSession, d: str) -> DataFrame:
     """O-137: walk-forward labels by density clusters; noise and unseen labels are excluded."""
@@ -214,15 +219,10 @@ def o144_model_comparison(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def o130_linear_importance(spark: SparkSession, d: str) -> DataFrame:
-    """O-130, O-78, O-140: lasso on a bounded sample of realized rows, mean absolute Shapley values over all of them, shares by group."""
+    """O-130, O-78, O-140: lasso of all realized rows, mean absolute Shapley values over them, shares by group."""
     t = targets(spark, d).filter(F.col("target_realized") & enough_observed(MODEL_FEATURES, 0.5))
-    m = t.agg(*(F.median(c).alias(f"m_{c}") for c in MODEL_FEATURES))
-    x = t.crossJoin(F.broadcast(m)).select("panel_id", "excess_return", *(F.coalesce(F.col(c), F.col(f"m_{c}"), F.lit(0.0)).alias(c) for c in MODEL_FEATURES))  # one row
-    s = x.agg(*(f(c).alias(f"{n}_{c}") for c in MODEL_FEATURES for n, f in (("a", F.avg), ("s", F.stddev_pop))))
-    z = x.crossJoin(F.broadcast(s)).select("panel_id", "excess_return", *(((F.col(c) - F.col(f"a_{c}")) / F.when(F.col(f"s_{c}") > 0, F.col(f"s_{c}")).otherwise(1.0)).alias(c) for c in MODEL_FEATURES))
-    fit = z.orderBy(F.xxhash64("panel_id"), "panel_id").limit(mo.MOST_TRAIN_ROWS).toPandas()  # the bounded training sample
-    w, _ = L.lasso(fit[MODEL_FEATURES].to_numpy(float), fit["excess_return"].to_numpy(float), 0.001) if len(fit) else ([0.0] * len(MODEL_FEATURES), 0.0)
-    imp = e.linear_importance(z, MODEL_FEATURES, dict(zip(MODEL_FEATURES, [float(v) for v in w])))
+    z, w = mo.fitted_lasso(t, "panel_id", MODEL_FEATURES, "excess_return", 0.001)
+    imp = e.linear_importance(z, MODEL_FEATURES, w)
     group = F.create_map(*(F.lit(v) for kv in GROUPS.items() for v in kv))
     every = Window.partitionBy(F.lit(0))  # one row per feature
     total = F.sum("mean_abs_shap")

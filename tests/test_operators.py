@@ -1,9 +1,11 @@
 """Rules of the panel, rating, event and model operators on small tables."""
 
 import datetime as dt
+import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarterdeck.functions import learners as L
@@ -11,11 +13,11 @@ from quarterdeck.functions import outlooks as o
 from quarterdeck.functions.tdist import upper_tail
 from quarterdeck.operators import evaluation as e
 from quarterdeck.operators import events as ev
-from quarterdeck.operators import folds as fo
 from quarterdeck.operators import models as mo
 from quarterdeck.operators import pit
 from quarterdeck.operators import quality as qu
 from quarterdeck.operators import ratings as ra
+from quarterdeck.operators import sharded as sh
 from quarterdeck.sources import files as fs
 
 D = dt.date
@@ -174,7 +176,7 @@ def test_learners_find_structure():
     y = 2 * x[:, 0] + rng.normal(0, 0.05, 120)
     w, b = L.lasso(x, y, 0.001)
     assert abs(x @ w + b - y).mean() < 0.1
-    for p in (L.random_forest(x, y, x, 20), L.boosted_trees(x, y, x, False, 100)):
+    for p in (L.fit_forest(x, y, 20).predict(x), L.fit_boosted(x, y, False, 100).predict(x)):
         assert np.corrcoef(p, y)[0, 1] > 0.98
     w, b = L.logistic_l1(x, truth)
     assert (((x @ w + b) > 0) == truth).all() and L.silhouette(x, truth) > 0.8
@@ -206,31 +208,74 @@ def test_risk_scores_come_from_every_row_of_a_large_window(spark):
     ok = (~np.isnan(x)).sum(axis=1) >= 2
     z = np.where(np.isnan(x[ok]), np.nanmedian(x[ok], axis=0), x[ok])
     z = (z - z.mean(axis=0)) / z.std(axis=0)
-    c, side, _ = L.kmeans(z, 2)
+    side = got.raw_cluster_label.to_numpy()[ok].astype(int)
+    c = np.array([z[side == g].mean(axis=0) for g in (0, 1)])  # a fixed point of Lloyd's steps over all rows, as good as the best of ten starts
     means = [np.nanmean(x[ok][side == g, 0]) for g in (0, 1)]
     d = np.sqrt(((z[:, None] - c[np.argsort(means)][None]) ** 2).sum(axis=2))
+    assert (np.sqrt(((z[:, None] - c[None]) ** 2).sum(axis=2)).argmin(axis=1) == side).all()
+    assert (d.min(axis=1) ** 2).sum() <= 1.001 * L.kmeans(z, 2)[2]
     assert set(got.training_window_n_rows) == {ok.sum()} and ok.sum() > 20000
     assert got.risk_score.to_numpy()[ok] == pytest.approx(d[:, 0] / d.sum(axis=1), abs=1e-9) and np.isnan(got.risk_score.to_numpy()[~ok]).all()
 
 
-def test_sampled_models_are_scaled_by_the_whole_window(spark, monkeypatch):
+def test_models_are_scaled_by_the_whole_window_and_lasso_takes_all_of_it(spark):
     p = _panel(spark, 6, 60)
-    monkeypatch.setattr(mo, "REGISTRY", {"regression": {"lasso": mo.REGISTRY["regression"]["lasso"]}})
-    got = mo.walk_forward(p, ["a", "b", "c"], most_rows=40).toPandas()
+    registry = {"regression": {"lasso": None, "forest": lambda x, y: L.fit_forest(x, y, 5, 2)}}
+    got = mo.walk_forward(p, ["a", "b", "c"], most_rows=40, registry=registry).toPandas()
     rows = p.toPandas().sort_values("panel_id")
-    for day, g in got.groupby("rebal_date"):
+    assert set(got.model) == {"lasso", "forest"}
+    for (day, model), g in got.groupby(["rebal_date", "model"]):
         train = rows[(rows.target_period_end <= day) & rows.target_realized]
         x, a = L.impute_scale(train[["a", "b", "c"]].to_numpy(), rows.set_index("panel_id").loc[g.panel_id, ["a", "b", "c"]].to_numpy(), keep_empty=True)
-        assert set(g.training_window_n_rows) == {len(train)} and 0 < g.n_train.iloc[0] < len(train)
-        ids = spark.createDataFrame([(int(i), len(train)) for i in train.panel_id], "panel_id bigint, n bigint").withColumn("use", fo.drawn("panel_id", "n", 40)).toPandas()
-        use = ids.use.to_numpy(bool)
-        w, b = L.lasso(x[use], train.excess_return.to_numpy()[use], 0.01)
-        assert g.n_train.iloc[0] == use.sum() and g.predicted.to_numpy() == pytest.approx(a @ w + b)
+        y = train.excess_return.to_numpy()
+        assert set(g.training_window_n_rows) == {len(train)}
+        if model == "lasso":
+            w, b = L.lasso(x, y, 0.01)
+            assert set(g.n_train) == {len(train)} and g.predicted.to_numpy() == pytest.approx(a @ w + b)
+            continue
+        ids = spark.createDataFrame([(int(i),) for i in train.panel_id], "panel_id bigint").withColumn("u", F.pmod(F.xxhash64("panel_id"), F.lit(1_000_003)) / 1_000_003.0).toPandas()
+        use = (ids.u < 40 / len(train)).to_numpy()
+        assert set(g.n_train) == {use.sum()} and 0 < use.sum() < len(train)
+        assert g.predicted.to_numpy() == pytest.approx(L.fit_forest(x[use], y[use], 5, 2).predict(a))
     s = mo.score_panel(p, ["a", "b", "c"], most_rows=40).toPandas()
     s = s[s.signal_status == "scored"]
     assert len(s) and (s.n_train < s.training_window_n_rows).all()
 
 
+def test_medians_of_prefixes_are_exact(spark):
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(0, 1, (700, 2)), 1)
+    x[rng.random(x.shape) < 0.2] = np.nan
+    day = rng.integers(0, 12, 700)
+    df = spark.createDataFrame([(int(k), *(None if np.isnan(v) else float(v) for v in r)) for k, r in zip(day, x)], "day int, a double, b double")
+    got = sh.prefix_medians(df, "day", ["a", "b"], [-1, 0, 5, 11])
+    assert np.isnan(got[0]).all()
+    for i, until in ((1, 0), (2, 5), (3, 11)):
+        assert got[i] == pytest.approx(np.nanmedian(x[day <= until], axis=0))
+    assert sh.medians(df.limit(0), ["a", "b"]) == [None, None]
+
+
+@pytest.mark.parametrize("most", [10**6, 40])
+def test_ranges_change_no_scan(spark, most):
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["hot", "hot", "hot", "x", None]), rng.randint(0, 20), rng.choice([None, "u", "v"])) for i in range(500)]
+    df = spark.createDataFrame(rows, "i int, k string, t int, v string")
+    out = sh.scan(df.repartition(3), ["k"], [F.col("t"), F.col("i")], "n", {"was": F.col("v"), "t_was": F.col("t")}, {"last": F.col("v")}, "all", most).collect()
+    got = {r.i: (r.n, r.was, r.t_was, r["last"], r["all"], r.v) for r in out}
+    for key in ("hot", "x", None):
+        mine = sorted((r for r in rows if r[1] == key), key=lambda r: (r[2], r[0]))
+        last = None
+        for n, r in enumerate(mine):
+            prev = mine[n - 1] if n else None
+            assert got[r[0]] == (n + 1, prev and prev[3], prev and prev[2], last, len(mine), r[3])
+            last = r[3] or last
+    counts = df.groupBy("k", "t").agg(F.count(F.lit(1)).alias("n"))
+    below = {(r.k, r.t): r.below for r in sh.running_counts(counts, ["k"], "t", "n", most // 10).collect()}
+    assert below == {(k, t): sum(1 for r in rows if r[1] == k and r[2] < t) for k, t in {(r[1], r[2]) for r in rows}}
+    parts = spark.range(1, 12).select(sh.share_of(F.col("id"), F.lit(11), 3).alias("p"), F.ntile(3).over(Window.orderBy("id")).alias("q")).collect()
+    assert all(r.p == r.q for r in parts)
+
+
 def test_sweep_figures_are_of_all_rows(spark):
     rng = np.random.default_rng(8)
     x = np.vstack([rng.normal(m, 0.3, (n, 3)) for m, n in ((0, 1500), (5, 1500))])
