@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tdist import t_upper_tail
+from .sharded import running_counts
 
 
 def adjusted_rand(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
@@ -34,13 +35,13 @@ def adjusted_rand(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
 def average_ranks(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """``df`` with ``rank_<v>``: ranks upwards within the key, ties sharing their mean rank.
 
-    Ranks are computed on (key, value) counts, so ties are one row; then they return by an equi-join.
+    Ranks are computed on (key, value) counts, so ties are one row, in ranges where a key has very many; then they return by an equi-join.
     """
     out = df
     for v in values:
         counts = df.groupBy(*keys, v).agg(F.count(F.lit(1)).alias("_c"))
-        below = F.sum("_c").over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(v).rowsBetween(Window.unboundedPreceding, 0))
-        ranks = counts.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col(v).alias("_v"), (below - F.col("_c") + (F.col("_c") + 1) / 2).alias(f"rank_{v}"))
+        below = running_counts(counts, keys, v, "_c")
+        ranks = below.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col(v).alias("_v"), (F.col("below") + (F.col("_c") + 1) / 2).alias(f"rank_{v}"))
         on = F.col(v) == F.col("_v")
         for k in keys:
             on = on & (F.col(k) == F.col(f"_{k}"))

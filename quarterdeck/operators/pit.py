@@ -37,6 +37,31 @@ def asof_backward(left: DataFrame, facts: DataFrame, keys: list[str], left_date:
     return left.join(known, [*keys, left_date], "left")
 
 
+def asof_quarters(facts: DataFrame, keys: list[str], fact_date: str, carry: list[str], tie: list[Column], first: str, last: str) -> DataFrame:
+    """Every key on every quarter end between two dates, with the columns ``carry`` of its latest fact dated on or before it (NULL before the first).
+
+    The latest *row* counts, even where its value is NULL; of one date the one that is largest by ``tie``.  Only a quarter's
+    last fact can be seen on a quarter end, so facts are reduced to one per key and quarter (map-side); each then stands until
+    the next one's quarter.  One exchange on the key, and no row of the spine is ever joined.
+    """
+
+    def index(d: Column) -> Column:
+        return F.year(d) * 4 + F.quarter(d) - 1
+
+    low, high = index(F.lit(first).cast("date")), index(F.lit(last).cast("date"))
+    best = facts.groupBy(*keys, index(F.col(fact_date)).alias("_q")).agg(F.max(F.struct(F.col(fact_date).alias("_d"), *(t.alias(f"_t{i}") for i, t in enumerate(tie)), *carry)).alias("_f"))
+    best = best.select(*keys, "_q", *(F.col(f"_f.{c}").alias(c) for c in carry))
+    w = Window.partitionBy(*keys).orderBy("_q")
+    spans = best.withColumn("_next", F.lead("_q").over(w)).withColumn("_before", F.lag("_q").over(w))
+    start, end = F.greatest("_q", low), F.least(F.coalesce(F.col("_next") - 1, high), high)
+    known = F.when(start <= end, F.transform(F.sequence(start, end), lambda q: F.struct(q.alias("q"), F.lit(True).alias("known"))))
+    none = F.when(F.col("_before").isNull() & (low < F.col("_q")), F.transform(F.sequence(low, F.least(F.col("_q") - 1, high)), lambda q: F.struct(q.alias("q"), F.lit(False).alias("known"))))
+    empty = F.array().cast("array<struct<q:int,known:boolean>>")
+    rows = spans.select(*keys, *carry, F.explode(F.concat(F.coalesce(none, empty), F.coalesce(known, empty))).alias("_s"))
+    date = F.last_day(F.make_date(F.floor(F.col("_s.q") / 4).cast("int"), (F.col("_s.q") % 4) * 3 + 3, F.lit(1)))
+    return rows.select(*keys, date.alias("rebal_date"), *(F.when(F.col("_s.known"), F.col(c)).alias(c) for c in carry))
+
+
 def bounded_lookup(anchors: DataFrame, daily: DataFrame, keys: list[str], anchor: str, date: str, value: str, tolerance: int, tie: str) -> DataFrame:
     """``anchors`` with ``value`` of the latest daily row in [anchor - tolerance, anchor], NULL or not; NULL without a row.
 
@@ -80,8 +105,14 @@ def gap_fill_union(primary: DataFrame, secondary: DataFrame, keys: list[str]) ->
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """One row per key, the smallest by ``order``: a map-side combined aggregation, not a sort of whole groups."""
+    """One row per key, the smallest by ``order``: a map-side combined aggregation, not a sort of whole groups.
+
+    By a single column every other one is an aggregate of its own: those that nobody reads are pruned, and numbers need no sort.
+    """
     rest = [c for c in df.columns if c not in keys and c not in order]
+    if len(order) == 1:
+        best = df.groupBy(*keys).agg(F.min(order[0]).alias(order[0]), *(F.min_by(c, order[0]).alias(c) for c in rest))
+        return best.select(*df.columns)
     best = df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_o"), F.min_by(F.struct(*(rest or order)), F.struct(*order)).alias("_r"))
     picked = {**{c: F.col(f"_o.{c}") for c in order}, **{c: F.col(f"_r.{c}") for c in rest}, **{k: F.col(k) for k in keys}}
     return best.select(*(picked[c].alias(c) for c in df.columns))

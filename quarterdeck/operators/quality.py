@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sharded import scan
+
 
 def coverage(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Per key the fraction of rows in which each column holds a value."""
@@ -18,11 +20,6 @@ def coverage_report(entities: DataFrame, series: DataFrame, facts: DataFrame, ye
     return grid.join(n, ["country", "series"], "left").select("country", "series", F.round(F.coalesce("n", F.lit(0)) / years, 3).alias("coverage_pct"))
 
 
-def median_by(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Exact median per key."""
-    return df.groupBy(*keys).agg(F.median(value).alias("median"))
-
-
 def mad_outliers(df: DataFrame, keys: list[str], value: str, threshold: float = 3.5) -> DataFrame:
     """Rows whose modified z-score 0.6745 (x - median) / MAD exceeds the threshold; keys with zero MAD have none.
 
@@ -37,8 +34,8 @@ def mad_outliers(df: DataFrame, keys: list[str], value: str, threshold: float =
 
 def notch_jumps(df: DataFrame, keys: list[str], order: list[str], value: str, keep: list[str], threshold: int = 4) -> DataFrame:
     """Consecutive pairs of a key whose values differ by more than the threshold: ``<c>_from, <c>_to, notch_jump``."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    prev = df.select(*keys, *keep, value, *(F.lag(c).over(w).alias(f"{c}_from") for c in keep), F.lag(value).over(w).alias("_p"))
+    slim = df.select(*dict.fromkeys([*keys, *order, *keep, value]))
+    prev = scan(slim, keys, [F.col(c) for c in order], before={**{f"{c}_from": F.col(c) for c in keep}, "_p": F.col(value)})
     return prev.withColumn("notch_jump", F.col(value) - F.col("_p")).filter(F.abs("notch_jump") > threshold).select(
         *keys, *(F.col(f"{c}_from") for c in keep), *(F.col(c).alias(f"{c}_to") for c in keep), "notch_jump"
     )
@@ -46,9 +43,9 @@ def notch_jumps(df: DataFrame, keys: list[str], order: list[str], value: str, ke
 
 def close_mixed_precision(df: DataFrame, keys: list[str], order: list[str], date: str, value: str, rough: Column, days: int = 35) -> DataFrame:
     """Neighbours of equal value, 1 to ``days`` apart, of which exactly one is dated roughly: one action noted twice."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    rows = df.withColumn("_rough", F.coalesce(rough, F.lit(False)))
-    pairs = rows.select(*keys, date, value, "_rough", F.lag(date).over(w).alias("prev_date"), F.lag(value).over(w).alias("_pv"), F.lag("_rough").over(w).alias("_pr"))
+    rows = df.withColumn("_rough", F.coalesce(rough, F.lit(False))).select(*dict.fromkeys([*keys, *order, date, value, "_rough"]))
+    pairs = scan(rows, keys, [F.col(c) for c in order], before={"prev_date": F.col(date), "_pv": F.col(value), "_pr": F.col("_rough")})
+    pairs = pairs.select(*keys, date, value, "_rough", "prev_date", "_pv", "_pr")
     gap = F.datediff(date, "prev_date")
     return pairs.withColumn("gap_days", gap).filter((F.col(value) == F.col("_pv")) & gap.between(1, days) & (F.col("_rough") != F.col("_pr"))).drop("_rough", "_pr", "_pv")
 

@@ -6,11 +6,12 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import outlooks as o
 from ..functions.ratings import RATING_ORDINALS, rating_ordinal
+from .sharded import scan
 
 
 def clean(raw: DataFrame) -> DataFrame:
@@ -26,16 +27,14 @@ def clean(raw: DataFrame) -> DataFrame:
 
 def forward_fill(log: DataFrame, keys: list[str], order: list[str], column: str = "rating") -> DataFrame:
     """Blank cells take the last value before them within their key; leading blanks are dropped."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return log.withColumn(column, F.last(column, ignorenulls=True).over(w)).filter(F.col(column).isNotNull())
+    rows = scan(log, keys, [F.col(c) for c in order], filled={"_last": F.col(column)})
+    return rows.withColumn(column, F.coalesce(column, "_last")).drop("_last").filter(F.col(column).isNotNull())
 
 
 def infer_actions(log: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """``log`` with blank actions inferred; a lower number is a better rating."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
     explicit, outlook = o.stripped(F.col("action")), o.stripped(F.col("outlook"))
-    rows = log.withColumn("_prev", F.lag("rating_numeric").over(w)).withColumn("_n", F.row_number().over(w)).withColumn("_po", F.last(outlook, ignorenulls=True).over(before))
+    rows = scan(log, keys, [F.col(c) for c in order], "_n", {"_prev": F.col("rating_numeric")}, {"_po": outlook})
     number = F.col("rating_numeric")
     action = (
         F.when(explicit.isNotNull(), explicit).when((F.col("_n") == 1) | F.col("_prev").isNull(), "initial").when(number < F.col("_prev"), "upgrade")

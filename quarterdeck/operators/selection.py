@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sharded import scan
+
 
 def rank_within(df: DataFrame, keys: list[str], score: str, tie: list[str], tops=(5, 10, 15)) -> DataFrame:
     """``df`` with ``rank_within_date`` (NULL without a score), ``n_scored_within_date`` and membership flags ``top_<n>``."""
     df = df.drop("rank_within_date", "n_scored_within_date", *(f"top_{n}" for n in tops))  # stored ranks give way to these
-    w = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(score), *tie)
     has = F.col(score).isNotNull()
     counts = df.groupBy(*keys).agg(F.count(score).alias("n_scored_within_date"))
-    out = df.withColumn("rank_within_date", F.when(has, F.row_number().over(w))).join(counts, keys)
+    placed = scan(df, keys, [F.col(score).isNull(), -F.col(score), *(F.col(t) for t in tie)], "rank_within_date")
+    out = placed.withColumn("rank_within_date", F.when(has, F.col("rank_within_date"))).join(counts, keys)
     for n in tops:
         out = out.withColumn(f"top_{n}", has & F.coalesce(F.col("rank_within_date") <= n, F.lit(False)))
     return out

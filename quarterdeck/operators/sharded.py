@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from ..session import shuffle_width, written
 
-#: Rows of a key that one task may sort.
-PLAIN_ROWS = 1_000_000
+#: Rows of a key that one task may sort, and the estimated bytes of a whole input below which keys aren't even counted.
+PLAIN_ROWS, PLAIN_BYTES = 1_000_000, 64 << 20
 
 
 def largest_key(df: DataFrame, keys: list[str]) -> int:
@@ -25,6 +25,13 @@ def largest_key(df: DataFrame, keys: list[str]) -> int:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
 
 
+def _hot(df: DataFrame, keys: list[str], most: int) -> bool:
+    """Whether some key holds more than ``most`` rows; the planner's estimate of the input's size spares small inputs the count."""
+    if most >= PLAIN_ROWS and int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= PLAIN_BYTES:
+        return False
+    return largest_key(df, keys) > most
+
+
 def ranged(df: DataFrame, keys: list[str], order: list[Column], range_rows: int) -> DataFrame:
     """``df`` written with ``_range``, the number of its range of (keys, order): numbers rise with the order, ranges are of like size."""
     many = max(shuffle_width(df.sparkSession), -(-df.count() // range_rows))
@@ -35,11 +42,12 @@ def scan(df: DataFrame, keys: list[str], order: list[Column], number: str | None
     """``df`` with columns of an ordered scan per key.
 
     ``number``: the row's place in its key, from 1; ``total``: the key's rows; ``before``: per name the value of an expression in the previous row;
-    ``filled``: per name the last value of an expression that isn't NULL, in the rows before this one.  NULL is a key like any other, and the order must be total.
+    ``filled``: per name the last value of an expression that isn't NULL, in the rows before this one.  NULL is a key like any other; the order
+    is upwards, NULLs first, and must be total.
     """
-    before, filled = before or {}, filled or {}
+    before, filled, given = before or {}, filled or {}, df.columns
     df = df.withColumns({f"_b{i}": c for i, c in enumerate(before.values())} | {f"_f{i}": c for i, c in enumerate(filled.values())})
-    hot = largest_key(df, keys) > most
+    hot = _hot(df, keys, most)
     part = [*keys, "_range"] if hot else keys
     rows = ranged(df, keys, order, most) if hot else df
     w = Window.partitionBy(*part).orderBy(*order)
@@ -70,7 +78,6 @@ def scan(df: DataFrame, keys: list[str], order: list[Column], number: str | None
         out = out.withColumns({f"_pf{i}": F.coalesce(f"_pf{i}", f"_sf{i}") for i in range(len(filled))}).withColumn("_n", (F.col("_n") + F.col("_off")).cast("bigint"))
     elif total:
         out = out.withColumn("_total", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    given = [c for c in df.columns if not c.startswith(("_b", "_f"))]
     return out.select(
         *given, *([F.col("_n").cast("int").alias(number)] if number else []), *([F.col("_total").cast("bigint").alias(total)] if total else []),
         *(F.col(f"_pb{i}").alias(n) for i, n in enumerate(before)), *(F.col(f"_pf{i}").alias(n) for i, n in enumerate(filled)),
@@ -88,7 +95,7 @@ def share_of(number: Column, total: Column, parts: int) -> Column:
 def running_counts(counts: DataFrame, keys: list[str], value: str, n: str, most: int = PLAIN_ROWS) -> DataFrame:
     """``counts`` (one row per key and value) with ``below``: the sum of ``n`` over the key's smaller values."""
     w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    if largest_key(counts, keys) <= most:
+    if not _hot(counts, keys, most):
         return counts.withColumn("below", F.coalesce(F.sum(n).over(w), F.lit(0)))
     rows = ranged(counts, keys, [F.col(value)], most)
     part = [*keys, "_range"]

@@ -42,9 +42,9 @@ def r6(c: Column | str) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
-def daily(spark: SparkSession, d: str) -> DataFrame:
-    """Bond readings, one per ric and date (the first delivered), NaN as NULL."""
-    t = load(spark, d, "market_daily").select("ric", "date", "row_id", "country", *BOND_FIELDS)
+def daily(spark: SparkSession, d: str, *fields: str) -> DataFrame:
+    """Bond readings, one per ric and date (the first delivered), NaN as NULL: ``ric, date, row_id`` and the fields asked for (else all, with the country)."""
+    t = load(spark, d, "market_daily").select("ric", "date", "row_id", *(fields or ("country", *BOND_FIELDS)))
     return first_by(nan_to_null(t), ["ric", "date"], ["row_id"])
 
 
@@ -60,14 +60,13 @@ PANEL_NUMBERS = (
 )
 
 
-def panel(spark: SparkSession, d: str) -> DataFrame:
-    """The feature panel, one row per country code and date (the smallest id); NaN and placeholders as NULL."""
-    t = load(spark, d, "feature_panel").select(
-        "country_code", "rebal_date", "panel_id", "country_name", "dm_em_flag", *PANEL_NUMBERS, "asof_max_available_date", "data_asof_ok", "missing_flag"
-    )
-    t = nan_to_null(t)
+def panel(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The feature panel, one row per country code and date (the smallest id); NaN and placeholders as NULL. With columns, only these beside the keys and the id."""
+    every = ("country_name", "dm_em_flag", *PANEL_NUMBERS, "asof_max_available_date", "data_asof_ok", "missing_flag")
+    t = nan_to_null(load(spark, d, "feature_panel").select("country_code", "rebal_date", "panel_id", *(columns or every)))
     for c, marks in NUMERIC_PLACEHOLDERS.items():
-        t = t.withColumn(c, F.when(~F.col(c).isin(*marks), F.col(c)))
+        if c in t.columns:
+            t = t.withColumn(c, F.when(~F.col(c).isin(*marks), F.col(c)))
     return first_by(t, ["country_code", "rebal_date"], ["panel_id"])
 
 
@@ -82,10 +81,14 @@ def raw_log(spark: SparkSession, d: str) -> DataFrame:
     return t
 
 
-def signals(spark: SparkSession, d: str) -> DataFrame:
-    """The score of every issuer last recorded per run and date; NaN as NULL, unscored as NULL."""
-    t = nan_to_null(load(spark, d, "return_signals")).withColumn("_late", -F.unix_micros(F.col("scored_at").cast("timestamp")))
-    t = first_by(t.drop("scored_at"), ["run_id", "rebal_date", "country_code"], ["_late", "signal_id"])
+def signals(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The score of every issuer last recorded per run and date; NaN as NULL, unscored as NULL. With columns, only these beside the keys, the id and the scores."""
+    keys, scores = ["run_id", "rebal_date", "country_code"], ["predicted_excess_return", "predicted_prob_positive", "signal_status"]
+    t = load(spark, d, "return_signals")
+    if columns:
+        t = t.select(*dict.fromkeys([*keys, "signal_id", "scored_at", *scores, *columns]))
+    t = nan_to_null(t).withColumn("_late", -F.unix_micros(F.col("scored_at").cast("timestamp")))
+    t = first_by(t.drop("scored_at"), keys, ["_late", "signal_id"])
     scored = F.col("signal_status") == "scored"
     return t.withColumn("score", F.when(scored, F.col("predicted_excess_return"))).withColumn("prob", F.when(scored, F.col("predicted_prob_positive")))
 
@@ -114,5 +117,9 @@ CTES = {
     "spine": "SELECT last_day(CAST(m AS DATE)) AS rebal_date FROM (SELECT unnest(generate_series(DATE '2005-03-01', DATE '2025-12-01', INTERVAL 3 MONTH)) AS m)",
     "globals": "SELECT rebal_date, avg(us_10y) AS us_10y, avg(us_2y) AS us_2y, avg(vix) AS vix, avg(dxy_proxy) AS dxy_proxy FROM panel GROUP BY rebal_date",
 }
+CTES["entities"] = (
+    "SELECT iso3, name, CASE WHEN upper(trim(classification)) IN ('DM', 'EM') THEN upper(trim(classification)) END AS classification, bond_ric FROM universe "
+    "QUALIFY row_number() OVER (PARTITION BY iso3 ORDER BY name NULLS FIRST, iso2 NULLS FIRST, classification NULLS FIRST, bond_ric NULLS FIRST, cds_ric NULLS FIRST) = 1"
+)
 #: The quarter end of a date in SQL.
 QEND = "last_day(CAST(date_trunc('quarter', {0}) AS DATE) + INTERVAL 2 MONTH)"

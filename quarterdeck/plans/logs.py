@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import outlooks as o
@@ -12,6 +12,7 @@ from ..operators import quality as qu
 from ..operators import ratings as ra
 from ..operators import selection as se
 from ..operators.pit import first_by
+from ..operators.sharded import scan, share_of
 from ..session import cut_lineage, load, shared_dir
 from ..sources import files as fs
 from .base import daily, macro, panel, query, r6, ratings, raw_log, signals
@@ -57,8 +58,8 @@ SELECT raw_id, before AS first, outlook AS second, coalesce(u IS NULL OR v IS NU
 @query(_NEXT_SQL, "rawlog")
 def o113_outlook_pairs(spark: SparkSession, d: str) -> DataFrame:
     """O-113, O-114: agreement and preference of every outlook with the one noted before it."""
-    w = Window.partitionBy(*KEYS).orderBy("date", "raw_id")
-    pairs = raw_log(spark, d).select("raw_id", F.lag("outlook").over(w).alias("first"), F.col("outlook").alias("second"))
+    log = raw_log(spark, d).select("raw_id", *KEYS, "date", "outlook")
+    pairs = scan(log, KEYS, [F.col("date"), F.col("raw_id")], before={"first": F.col("outlook")}).withColumnRenamed("outlook", "second")
     a, b = F.col("first"), F.col("second")
     return pairs.select("raw_id", "first", "second", o.outlooks_agree(a, b).alias("agree"), o.preferred_outlook(a, b).alias("preferred"))
 
@@ -207,7 +208,7 @@ t AS (SELECT e.*, coalesce(na, 0) AS na, coalesce(nv, 0) AS nv, coalesce(ba, 0)
 
 def _windows(spark: SparkSession, d: str) -> DataFrame:
     e = ratings(spark, d).filter("action = 'downgrade'").select("rating_id", F.translate("country", "_", " ").alias("country_name"), "date")
-    return ev.event_windows(e, panel(spark, d), "rating_id", "country_name", "date", "rebal_date", "yield_spread_bps")
+    return ev.event_windows(e, panel(spark, d, "country_name", "yield_spread_bps"), "rating_id", "country_name", "date", "rebal_date", "yield_spread_bps")
 
 
 @query(
@@ -262,7 +263,7 @@ def o101_missing_entities(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT ric, min(date) AS first_date, max(date) AS last_date, count(*) AS n, count(DISTINCT date) AS n_dates, min(date) > DATE '2005-01-31' AS starts_late FROM daily GROUP BY ric", "daily")
 def o076_series_span(spark: SparkSession, d: str) -> DataFrame:
     """O-68, O-76: span and counts of every series, late starts flagged."""
-    return daily(spark, d).groupBy("ric").agg(
+    return daily(spark, d, "mid_price").groupBy("ric").agg(
         F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count(F.lit(1)).alias("n"), F.countDistinct("date").alias("n_dates"), (F.min("date") > F.lit("2005-01-31").cast("date")).alias("starts_late")
     )
 
@@ -270,7 +271,7 @@ def o076_series_span(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT rebal_date, " + ", ".join(f"round(avg(({c} IS NOT NULL)::INT), 6) AS coverage_{c}" for c in ("yield_spread_bps", "debt_gdp", "cds_5y")) + ", round(avg(cds_5y), 6) AS mean_cds, CAST(count(*) AS BIGINT) AS n FROM panel GROUP BY ALL", "panel")
 def o021_diagnostics(spark: SparkSession, d: str) -> DataFrame:
     """O-21, O-65, O-79: row counts, coverage and means that skip missing values, as a table."""
-    t = panel(spark, d)
+    t = panel(spark, d, "yield_spread_bps", "debt_gdp", "cds_5y")
     cover = qu.coverage(t, ["rebal_date"], ["yield_spread_bps", "debt_gdp", "cds_5y"])
     means = t.groupBy("rebal_date").agg(r6(F.avg("cds_5y")).alias("mean_cds"), F.count(F.lit(1)).alias("n"))
     return cover.withColumns({c: r6(c) for c in cover.columns if c != "rebal_date"}).join(means, "rebal_date")
@@ -300,7 +301,7 @@ _BOND = "SELECT country AS entity, date, mid_price, bid, zspread FROM daily WHER
 def o002_entity_csvs(spark: SparkSession, d: str) -> DataFrame:
     """O-02, O-18, O-36: one CSV per entity written and scanned again, the entity from the folder's file names."""
     path = _place(spark, "bonds")
-    t = daily(spark, d).filter("mid_price IS NOT NULL").select(F.translate("country", " ", "_").alias("entity"), "date", "mid_price", "bid", "zspread")
+    t = daily(spark, d, "country", "mid_price", "bid", "zspread").filter("mid_price IS NOT NULL").select(F.translate("country", " ", "_").alias("entity"), "date", "mid_price", "bid", "zspread")
     t.repartition("entity").write.partitionBy("entity").option("header", True).csv(path)
     back = spark.read.schema("date date, mid_price double, bid double, zspread double, entity string").option("header", True).csv(path)
     return back.select(F.translate("entity", "_", " ").alias("entity"), "date", "mid_price", "bid", "zspread")
@@ -362,7 +363,7 @@ def o011_weo(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT date, mid_price AS value, CAST(date + 1 AS DATE) AS available_date FROM daily WHERE mid_price IS NOT NULL AND date BETWEEN DATE '2008-01-01' AND DATE '2020-12-31'", "daily")
 def o012_fred(spark: SparkSession, d: str) -> DataFrame:
     """O-08, O-12, O-104: daily text series: range, numeric values only, known one day later."""
-    t = daily(spark, d).select(F.col("date").cast("string").alias("date"), F.coalesce(F.col("mid_price").cast("string"), F.lit(".")).alias("value"))
+    t = daily(spark, d, "mid_price").select(F.col("date").cast("string").alias("date"), F.coalesce(F.col("mid_price").cast("string"), F.lit(".")).alias("value"))
     return fs.fred_series(fs.write_csv(t, _place(spark, "fred")), "2008-01-01", "2020-12-31", 1)
 
 
@@ -370,7 +371,7 @@ def o012_fred(spark: SparkSession, d: str) -> DataFrame:
 def o013_chunks(spark: SparkSession, d: str) -> DataFrame:
     """O-13: two-year chunks of a history, dates deduplicated keeping the first, rows per chunk."""
     chunks = F.broadcast(fs.date_chunks(spark, "2005-01-01", "2025-12-31"))  # a row per two years
-    per_day = daily(spark, d).groupBy("date").agg(F.count(F.lit(1)).alias("k"))
+    per_day = daily(spark, d, "mid_price").groupBy("date").agg(F.count(F.lit(1)).alias("k"))
     hit = per_day.join(chunks, F.col("date").between(F.col("chunk_start"), F.col("chunk_end")), "right")
     return hit.groupBy("chunk_start", "chunk_end").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"))
 
@@ -386,7 +387,7 @@ def o016_optional_input(spark: SparkSession, d: str) -> DataFrame:
 def o019_write_once(spark: SparkSession, d: str) -> DataFrame:
     """O-19: written once; the second write changes nothing."""
     path = _place(spark, "once")
-    t = daily(spark, d).groupBy("ric").agg(F.count(F.lit(1)).alias("n"))
+    t = daily(spark, d, "mid_price").groupBy("ric").agg(F.count(F.lit(1)).alias("n"))
     fs.write_once(t, path)
     return fs.write_once(t.withColumn("n", F.lit(-1).cast("bigint")), path)
 
@@ -407,7 +408,7 @@ def o020_issue_log(spark: SparkSession, d: str) -> DataFrame:
 )
 def o082_rank_within_date(spark: SparkSession, d: str) -> DataFrame:
     """O-82, O-83, O-84: rank, number scored, membership flags."""
-    t = se.rank_within(signals(spark, d), ["run_id", "rebal_date"], "score", ["country_code"])
+    t = se.rank_within(signals(spark, d, "signal_id"), ["run_id", "rebal_date"], "score", ["country_code"])
     return t.select("run_id", "rebal_date", "country_code", "rank_within_date", "n_scored_within_date", "top_5", "top_10", "top_15")
 
 
@@ -421,7 +422,7 @@ def o077_best_per_group(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT signal_id, country_code, score FROM (SELECT * FROM signals WHERE score IS NOT NULL ORDER BY score DESC, signal_id LIMIT 20)", "signals")
 def o097_head(spark: SparkSession, d: str) -> DataFrame:
     """O-97: the first rows of a sorted table (a report)."""
-    return signals(spark, d).filter("score IS NOT NULL").orderBy(F.desc("score"), "signal_id").limit(20).select("signal_id", "country_code", "score")
+    return signals(spark, d, "signal_id").filter("score IS NOT NULL").orderBy(F.desc("score"), "signal_id").limit(20).select("signal_id", "country_code", "score")
 
 
 _DIS = "SELECT rebal_date, country_code, dm_em_flag, tier FROM (SELECT *, ntile(3) OVER (PARTITION BY rebal_date ORDER BY yield_spread_bps, country_code) AS tier FROM panel WHERE yield_spread_bps IS NOT NULL) WHERE (dm_em_flag = 'EM' AND tier = 1) OR (dm_em_flag = 'DM' AND tier = 3)"
@@ -430,6 +431,6 @@ _DIS = "SELECT rebal_date, country_code, dm_em_flag, tier FROM (SELECT *, ntile(
 @query(_DIS, "panel")
 def o045_disagreements(spark: SparkSession, d: str) -> DataFrame:
     """O-45: EM in the low tier or DM in the high one."""
-    w = Window.partitionBy("rebal_date").orderBy("yield_spread_bps", "country_code")
-    t = panel(spark, d).filter("yield_spread_bps IS NOT NULL").withColumn("tier", F.ntile(3).over(w))
+    t = panel(spark, d, "dm_em_flag", "yield_spread_bps").filter("yield_spread_bps IS NOT NULL").select("rebal_date", "country_code", "dm_em_flag", "yield_spread_bps")
+    t = scan(t, ["rebal_date"], [F.col("yield_spread_bps"), F.col("country_code")], "place", total="of").withColumn("tier", share_of(F.col("place"), F.col("of"), 3))
     return t.filter("(dm_em_flag = 'EM' AND tier = 1) OR (dm_em_flag = 'DM' AND tier = 3)").select("rebal_date", "country_code", "dm_em_flag", "tier").orderBy("rebal_date", "country_code")

@@ -31,8 +31,9 @@ SELECT {g}round(CASE WHEN ka >= 2 AND kb >= 2 THEN CASE WHEN (sa + sb) / 2 = sa
 
 
 def _thirds(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("rebal_date").orderBy("yield_spread_bps", "country_code")
-    return panel(spark, d).filter("yield_spread_bps IS NOT NULL").withColumn("tier", F.ntile(3).over(w))
+    t = panel(spark, d, "dm_em_flag", "yield_spread_bps").filter("yield_spread_bps IS NOT NULL").select("rebal_date", "country_code", "dm_em_flag", "yield_spread_bps")
+    t = sh.scan(t, ["rebal_date"], [F.col("yield_spread_bps"), F.col("country_code")], "place", total="of")
+    return t.withColumn("tier", sh.share_of(F.col("place"), F.col("of"), 3))
 
 
 @query(_ari_sql("rebal_date"), "panel")
@@ -56,20 +57,20 @@ i AS (SELECT run_id, rebal_date, count(*) AS n, CASE WHEN count(*) >= 3 AND var_
 @query(_IC + "SELECT run_id, rebal_date, round(ic, 6) AS ic, n FROM i", "signals")
 def o124_information_coefficient(spark: SparkSession, d: str) -> DataFrame:
     """O-124: Spearman correlation of score and realized excess return per run and date."""
-    return e.information_coefficient(signals(spark, d), ["run_id", "rebal_date"], "score", "excess_return").withColumn("ic", r6("ic"))
+    return e.information_coefficient(signals(spark, d, "excess_return"), ["run_id", "rebal_date"], "score", "excess_return").withColumn("ic", r6("ic"))
 
 
 @query(_IC + "SELECT run_id, count(ic) AS n, round(avg(ic), 6) AS mean, round(CASE WHEN count(ic) >= 2 AND stddev_samp(ic) > 0 THEN avg(ic) / (stddev_samp(ic) / sqrt(count(ic))) END, 4) AS t_stat FROM i WHERE ic IS NOT NULL GROUP BY run_id", "signals")
 def o125_ic_t_statistic(spark: SparkSession, d: str) -> DataFrame:
     """O-125, O-79: mean IC and its t statistic over the folds that have one."""
-    ic = e.information_coefficient(signals(spark, d), ["run_id", "rebal_date"], "score", "excess_return")
+    ic = e.information_coefficient(signals(spark, d, "excess_return"), ["run_id", "rebal_date"], "score", "excess_return")
     return e.t_test_greater(ic, ["run_id"], "ic").select("run_id", "n", r6("mean").alias("mean"), F.round("t_stat", 4).alias("t_stat"))
 
 
 @query()
 def o125_ic_t_test(spark: SparkSession, d: str) -> DataFrame:
     """O-125, O-129: the same with one-sided p (Student's t), and whether the bar of IC > 0.05 and p < 0.05 is cleared."""
-    ic = e.information_coefficient(signals(spark, d), ["run_id", "rebal_date"], "score", "excess_return")
+    ic = e.information_coefficient(signals(spark, d, "excess_return"), ["run_id", "rebal_date"], "score", "excess_return")
     return e.t_test_greater(ic, ["run_id"], "ic").withColumn("cleared", (F.col("mean") > 0.05) & (F.col("p_value") < 0.05))
 
 
@@ -98,7 +99,7 @@ def o126_pooled_test(spark: SparkSession, d: str) -> DataFrame:
 )
 def o127_roc_auc(spark: SparkSession, d: str) -> DataFrame:
     """O-127: area under the ROC curve on pooled predictions of a run."""
-    t = signals(spark, d).withColumn("y", F.col("excess_return") > 0)
+    t = signals(spark, d, "excess_return").withColumn("y", F.col("excess_return") > 0)
     return e.roc_auc(t, ["run_id"], "y", "prob").withColumn("auc", r6("auc"))
 
 
@@ -111,7 +112,7 @@ _FEATURE_SQL = ", ".join(f"median({c}) AS m_{c}" for c in CORE)
 )
 def o131_impute_scale(spark: SparkSession, d: str) -> DataFrame:
     """O-131, O-132: exact training medians, and population deviations after imputation."""
-    t = panel(spark, d).filter(enough_observed(CORE, 0.5))
+    t = panel(spark, d, *CORE).filter(enough_observed(CORE, 0.5))
     m = dict(zip(CORE, sh.medians(t, CORE)))
     s = t.agg(*(F.stddev_pop(F.coalesce(F.col(c), F.lit(m[c]).cast("double"))).alias(f"s_{c}") for c in CORE))
     return s.select(*(x for c in CORE for x in (r6(F.lit(m[c]).cast("double")).alias(f"median_{c}"), r6(f"s_{c}").alias(f"sd_{c}"))))
@@ -123,7 +124,7 @@ def o131_impute_scale(spark: SparkSession, d: str) -> DataFrame:
 )
 def o133_apply_transform(spark: SparkSession, d: str) -> DataFrame:
     """O-133: a fitted transform applied to all rows."""
-    t = panel(spark, d).select("panel_id", "debt_gdp")
+    t = panel(spark, d, "debt_gdp").select("panel_id", "debt_gdp")
     x = t.select("panel_id", F.coalesce(F.col("debt_gdp"), F.lit(sh.medians(t, ["debt_gdp"])[0]).cast("double")).alias("x"))
     s = x.agg(F.avg("x").alias("a"), F.stddev_pop("x").alias("s"))
     return x.crossJoin(F.broadcast(s)).select("panel_id", r6((F.col("x") - F.col("a")) / F.col("s")).alias("z"))  # one row each
@@ -137,8 +138,8 @@ def o133_apply_transform(spark: SparkSession, d: str) -> DataFrame:
 )
 def o093_cluster_tiers(spark: SparkSession, d: str) -> DataFrame:
     """O-67, O-93: groups ranked by mean observed spread (0 where none), ranks to thirds."""
-    w = Window.partitionBy("rebal_date").orderBy("debt_gdp", "country_code")
-    t = panel(spark, d).filter("debt_gdp IS NOT NULL").withColumn("label", F.ntile(4).over(w))
+    t = panel(spark, d, "debt_gdp", "yield_spread_bps").filter("debt_gdp IS NOT NULL").select("rebal_date", "country_code", "debt_gdp", "yield_spread_bps")
+    t = sh.scan(t, ["rebal_date"], [F.col("debt_gdp"), F.col("country_code")], "place", total="of").withColumn("label", sh.share_of(F.col("place"), F.col("of"), 4))
     p = t.groupBy("label").agg(F.coalesce(F.avg("yield_spread_bps"), F.lit(0.0)).alias("proxy"))
     every = Window.partitionBy(F.lit(0))  # one row per group
     rank = F.row_number().over(every.orderBy("proxy", "label")) - 1
@@ -164,25 +165,25 @@ def o122_kmeans_information(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def o147_cluster_sweep(spark: SparkSession, d: str) -> DataFrame:
     """O-121, O-123, O-128, O-134, O-135, O-136, O-147: k-means, mixtures and density clusters over k, with their diagnostics."""
-    return mo.cluster_sweep(panel(spark, d), {"core": CORE, "extended": [*CORE, "cds_5y", "vix"]})
+    return mo.cluster_sweep(panel(spark, d, *CORE, "cds_5y", "vix"), {"core": CORE, "extended": [*CORE, "cds_5y", "vix"]})
 
 
 @query()
 def o139_risk_labels(spark: SparkSession, d: str) -> DataFrame:
     """O-138, O-139: walk-forward risk labels and scores."""
-    return mo.label_panel(panel(spark, d), CORE)
+    return mo.label_panel(panel(spark, d, *CORE), CORE)
 
 
 @query()
 def o139_mixture_labels(spark: SparkSession, d: str) -> DataFrame:
     """O-135, O-139: walk-forward labels by Gaussian mixtures."""
-    return mo.label_panel(panel(spark, d), CORE, "gmm")
+    return mo.label_panel(panel(spark, d, *CORE), CORE, "gmm")
 
 
 @query()
 def o137_density_labels(spark: SparkSession, d: str) -> DataFrame:
     """O-137: walk-forward labels by density clusters; noise and unseen labels are excluded."""
-    return mo.label_panel(panel(spark, d), CORE, algorithm="hdbscan", k=10)
+    return mo.label_panel(panel(spark, d, *CORE), CORE, algorithm="hdbscan", k=10)
 
 
 def targets(spark: SparkSession, d: str) -> DataFrame:

@@ -43,19 +43,20 @@ def o063_spine_by_entity(spark: SparkSession, d: str) -> DataFrame:
 )
 def o064_resample_last(spark: SparkSession, d: str) -> DataFrame:
     """O-64, O-54: last observed value per column and quarter, aligned to the spine."""
-    t = daily(spark, d)
+    t = daily(spark, d, "mid_price", "zspread", "int_cds")
     q = pit.resample_last(t, ["ric"], "date", ["mid_price", "zspread", "int_cds"], "row_id")
-    return cal.reindex(cal.spine_by_entity(cal.quarter_spine(spark), t.select("ric").distinct()), q, ["ric", "rebal_date"])
+    return cal.reindex(cal.spine_by_entity(cal.quarter_spine(spark), load(spark, d, "market_daily").select("ric").distinct()), q, ["ric", "rebal_date"])
 
 
 _ASOF = """WITH e AS (SELECT DISTINCT country, series FROM macro), f AS (SELECT * FROM macro QUALIFY row_number() OVER (PARTITION BY country, series, available_date ORDER BY period_date DESC, fact_id) = 1)
 SELECT e.country, e.series, s.rebal_date, f.value, f.source, f.available_date FROM e CROSS JOIN spine s ASOF LEFT JOIN f ON e.country = f.country AND e.series = f.series AND s.rebal_date >= f.available_date"""
 
 
+SPINE = ("2005-01-01", "2025-12-31")
+
+
 def _asof(spark: SparkSession, d: str) -> DataFrame:
-    facts = macro(spark, d)
-    left = cal.spine_by_entity(cal.quarter_spine(spark), facts.select("country", "series").distinct())
-    return pit.asof_backward(left, facts, ["country", "series"], "rebal_date", "available_date", ["value", "source", "available_date"], [F.col("period_date"), -F.col("fact_id")])
+    return pit.asof_quarters(macro(spark, d), ["country", "series"], "available_date", ["value", "source", "available_date"], [F.col("period_date"), -F.col("fact_id")], *SPINE)
 
 
 @query(_ASOF, "macro", "spine")
@@ -74,14 +75,13 @@ def o049_asof_global(spark: SparkSession, d: str) -> DataFrame:
     facts = macro(spark, d)
     tag = F.broadcast(facts.agg(F.min("country").alias("country")))  # one row
     own = facts.join(tag, "country").groupBy("series", "available_date").agg(F.min("value").alias("value"))
-    left = cal.spine_by_entity(cal.quarter_spine(spark), own.select("series").distinct())
-    known = pit.asof_backward(left, own, ["series"], "rebal_date", "available_date", ["value"], [F.coalesce("value", F.lit(0.0))])
+    known = pit.asof_quarters(own, ["series"], "available_date", ["value"], [F.coalesce("value", F.lit(0.0))], *SPINE)
     return facts.select("country").distinct().crossJoin(F.broadcast(known)).select("country", "series", "rebal_date", "value")  # series x calendar
 
 
 def _lookups(spark: SparkSession, d: str, sign: int, days: dict[str, int]) -> DataFrame:
-    t = daily(spark, d)
-    per = t.select("ric", quarter_end(F.col("date")).alias("rebal_date")).distinct()
+    t = daily(spark, d, "mid_price")
+    per = load(spark, d, "market_daily").select("ric", quarter_end(F.col("date")).alias("rebal_date")).distinct()
     names = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.lit(k).alias("days")) for n, k in days.items()))).alias("k")
     anchors = per.select("ric", "rebal_date", names).select("ric", "rebal_date", "k.name", F.date_add("rebal_date", sign * F.col("k.days")).alias("anchor"))
     return pit.bounded_lookup(anchors, t, ["ric"], "anchor", "date", "mid_price", pn.TOLERANCE_DAYS, "row_id")
@@ -114,8 +114,8 @@ def o051_bounded_forward(spark: SparkSession, d: str) -> DataFrame:
 )
 def o066_trailing_zscore(spark: SparkSession, d: str) -> DataFrame:
     """O-52, O-66: spread against its trailing 364 days."""
-    t = daily(spark, d)
-    anchors = t.select("ric", quarter_end(F.col("date")).alias("rebal_date")).distinct()
+    t = daily(spark, d, "zspread")
+    anchors = load(spark, d, "market_daily").select("ric", quarter_end(F.col("date")).alias("rebal_date")).distinct()
     return pit.trailing_zscore(anchors, t, ["ric"], "rebal_date", "date", "zspread", 364).withColumn("zscore", r6("zscore"))
 
 
@@ -128,7 +128,7 @@ def o066_trailing_zscore(spark: SparkSession, d: str) -> DataFrame:
 )
 def o028_best_price(spark: SparkSession, d: str) -> DataFrame:
     """O-28: the price field each series has, in order of priority, with a synthetic mid."""
-    return pn.best_price(daily(spark, d), ["ric"]).select("ric", "date", "price_field", r6("price").alias("price"))
+    return pn.best_price(daily(spark, d, "dirty_prc", "clean_prc", "mid_price", "bid", "ask"), ["ric"]).select("ric", "date", "price_field", r6("price").alias("price"))
 
 
 @query(
@@ -139,16 +139,28 @@ def o028_best_price(spark: SparkSession, d: str) -> DataFrame:
 )
 def o035_coverage_tier(spark: SparkSession, d: str) -> DataFrame:
     """O-35, O-65: tier by the fields a series has, and the share of days with duration and convexity."""
-    t = daily(spark, d)
-    has = pn.field_presence(t, ["ric"], ["clean_prc", "dirty_prc", "yldtomat", "mid_price"])
-    both = t.groupBy("ric").agg(r6(F.avg((F.col("mod_durtn").isNotNull() & F.col("convexity").isNotNull()).cast("double"))).alias("dur_conv_coverage"))
-    tier = pn.coverage_tier({f: F.col(f"has_{f}") for f in ("clean_prc", "dirty_prc", "yldtomat", "mid_price")})
-    return has.join(both, "ric").select("ric", tier.alias("coverage_tier"), "dur_conv_coverage")
+    return bond_coverage(daily(spark, d, "clean_prc", "dirty_prc", "yldtomat", "mid_price", "mod_durtn", "convexity"))
+
+
+def bond_coverage(t: DataFrame) -> DataFrame:
+    """``ric, coverage_tier, dur_conv_coverage``: presence of fields and the share of days with both sensitivities, in one aggregation."""
+    fields = ("clean_prc", "dirty_prc", "yldtomat", "mid_price")
+    both = (F.col("mod_durtn").isNotNull() & F.col("convexity").isNotNull()).cast("double")
+    has = t.groupBy("ric").agg(*(F.max(F.col(f).isNotNull()).alias(f"has_{f}") for f in fields), r6(F.avg(both)).alias("dur_conv_coverage"))
+    return has.select("ric", pn.coverage_tier({f: F.col(f"has_{f}") for f in fields}).alias("coverage_tier"), "dur_conv_coverage")
 
 
 _WIDE = ", ".join(f"max(value) FILTER (series = '{s}') AS {s}, max(source) FILTER (series = '{s}') AS {s}_source, max(available_date) FILTER (series = '{s}') AS {s}_avail" for s in pn.MACRO_FEATURES)
 
 
+def macro_wide(spark: SparkSession, d: str) -> DataFrame:
+    """One row per country and quarter end: every series' known value, source and availability, and the newest availability."""
+    wide = _asof(spark, d).groupBy("country", "rebal_date").agg(
+        *(F.max(F.when(F.col("series") == s, F.col(c))).alias(a) for s in pn.MACRO_FEATURES for c, a in (("value", s), ("source", f"{s}_source"), ("available_date", f"{s}_avail")))
+    )
+    return wide.withColumn("asof_max_available_date", F.greatest(*(f"{s}_avail" for s in pn.MACRO_FEATURES)))
+
+
 @query(
     f"""WITH a AS (SELECT e.country, e.series, s.rebal_date, f.value, f.source, f.available_date FROM (SELECT DISTINCT country, series FROM macro) e CROSS JOIN spine s ASOF LEFT JOIN (SELECT * FROM macro QUALIFY row_number() OVER (PARTITION BY country, series, available_date ORDER BY period_date DESC, fact_id) = 1) f ON e.country = f.country AND e.series = f.series AND s.rebal_date >= f.available_date),
     w AS (SELECT country, rebal_date, {_WIDE} FROM a GROUP BY ALL),
@@ -159,11 +171,7 @@ _WIDE = ", ".join(f"max(value) FILTER (series = '{s}') AS {s}, max(source) FILTE
 )
 def o031_macro_panel(spark: SparkSession, d: str) -> DataFrame:
     """O-29, O-31, O-32, O-34, O-38, O-99: wide macro panel with sources, newest availability, missing flag and leakage guard."""
-    known = _asof(spark, d)
-    wide = known.groupBy("country", "rebal_date").agg(
-        *(F.max(F.when(F.col("series") == s, F.col(c))).alias(a) for s in pn.MACRO_FEATURES for c, a in (("value", s), ("source", f"{s}_source"), ("available_date", f"{s}_avail")))
-    )
-    wide = wide.withColumn("asof_max_available_date", F.greatest(*(f"{s}_avail" for s in pn.MACRO_FEATURES)))
+    wide = macro_wide(spark, d)
     kept = pn.guard_known(wide, "asof_max_available_date", "rebal_date")
     return kept.select(
         "country", "rebal_date", *(c for s in pn.MACRO_FEATURES for c in (s, f"{s}_source")), "asof_max_available_date", any_missing(list(pn.MACRO_FEATURES)).alias("missing_flag"),
@@ -177,7 +185,7 @@ def o031_macro_panel(spark: SparkSession, d: str) -> DataFrame:
 )
 def o023_derived(spark: SparkSession, d: str) -> DataFrame:
     """O-22, O-23, O-24, O-33: renamed, derived and constant columns (the two-year yield stands in for the bill)."""
-    t = pn.carry_and_basis(panel(spark, d).withColumn("slope", F.col("us_10y") - F.col("us_2y")), "us_2y")
+    t = pn.carry_and_basis(panel(spark, d, "us_10y", "us_2y", "yield_spread_bps", "cds_5y").withColumn("slope", F.col("us_10y") - F.col("us_2y")), "us_2y")
     return t.select("country_code", "rebal_date", F.col("yield_spread_bps").alias("spread"), r6("slope").alias("curve_slope"), r6("carry").alias("carry"), r6("cds_bond_basis").alias("cds_bond_basis"), F.lit("core").alias("tier"))
 
 
@@ -188,7 +196,7 @@ def o023_derived(spark: SparkSession, d: str) -> DataFrame:
 def o037_sufficiency(spark: SparkSession, d: str) -> DataFrame:
     """O-30, O-37, O-36, O-39, O-42: observed features, sufficiency at half of them, population filters."""
     members = load(spark, d, "universe").select(F.col("iso3").alias("country_code")).distinct()
-    t = panel(spark, d).filter("dm_em_flag = 'EM'").join(members, "country_code", "left_semi")
+    t = panel(spark, d, "dm_em_flag", *CORE).filter("dm_em_flag = 'EM'").join(members, "country_code", "left_semi")
     return t.select("panel_id", "country_code", "rebal_date", n_observed(CORE).alias("n_observed"), enough_observed(CORE, 0.5).alias("sufficient"), any_missing(CORE).alias("missing_flag"))
 
 
@@ -201,13 +209,13 @@ SELECT ric, rebal_date, target_period_end, round(total_return, 6) AS total_retur
 
 
 def _globals(spark: SparkSession, d: str) -> DataFrame:
-    return panel(spark, d).groupBy("rebal_date").agg(*(F.avg(c).alias(c) for c in pn.GLOBAL_FEATURES))
+    return panel(spark, d, *pn.GLOBAL_FEATURES).groupBy("rebal_date").agg(*(F.avg(c).alias(c) for c in pn.GLOBAL_FEATURES))
 
 
 @query(_TARGET_SQL, "daily", "spine", "panel", "globals")
 def o056_next_quarter_target(spark: SparkSession, d: str) -> DataFrame:
     """O-25, O-26, O-27, O-53, O-55, O-56, O-119: return to the spine successor less the risk-free return, sign and realized flags."""
-    t = daily(spark, d).select("ric", "date", "row_id", ((F.col("bid") + F.col("ask")) / 2).alias("price"))
+    t = daily(spark, d, "bid", "ask").select("ric", "date", "row_id", ((F.col("bid") + F.col("ask")) / 2).alias("price"))
     q = pit.resample_last(t, ["ric"], "date", ["price"], "row_id")
     rows = q.join(F.broadcast(cal.with_next_date(cal.quarter_spine(spark))), "rebal_date")  # the spine: 84 dates
     ahead = q.select("ric", F.col("rebal_date").alias("next_date"), F.col("price").alias("price_t1"))
@@ -229,7 +237,7 @@ _HORIZON = " UNION ALL ".join(
 @query(f"WITH q AS (SELECT ric, {_q('date')} AS rebal_date, last(mid_price ORDER BY date, row_id) FILTER (mid_price IS NOT NULL) AS price FROM daily GROUP BY ALL) {_HORIZON}", "daily", "panel", "globals")
 def o146_horizon_targets(spark: SparkSession, d: str) -> DataFrame:
     """O-146: targets over 30, 91 and 182 days, rebuilt for every row in one pass and stacked by horizon."""
-    t = daily(spark, d)
+    t = daily(spark, d, "mid_price")
     q = pit.resample_last(t, ["ric"], "date", ["mid_price"], "row_id").withColumnRenamed("mid_price", "price_t").join(_globals(spark, d).select("rebal_date", "us_2y"), "rebal_date", "left")
     names = F.explode(F.array(*(F.struct(F.lit(n).alias("horizon"), F.lit(k).alias("days")) for n, k in pn.HORIZONS.items()))).alias("h")
     rows = q.select("ric", "rebal_date", "price_t", "us_2y", names).select("ric", "rebal_date", "price_t", "us_2y", "h.horizon", "h.days", F.date_add("rebal_date", F.col("h.days")).alias("target_period_end"))
@@ -268,7 +276,7 @@ def o102_dates(spark: SparkSession, d: str) -> DataFrame:
 )
 def o092_training_windows(spark: SparkSession, d: str) -> DataFrame:
     """O-40, O-91, O-92: the expanding window of every date: start, end, rows."""
-    return fo.window_metadata(panel(spark, d), "rebal_date", enough_observed(CORE, 0.5))
+    return fo.window_metadata(panel(spark, d, *CORE), "rebal_date", enough_observed(CORE, 0.5))
 
 
 @query(
@@ -278,7 +286,7 @@ def o092_training_windows(spark: SparkSession, d: str) -> DataFrame:
 )
 def o041_realized_windows(spark: SparkSession, d: str) -> DataFrame:
     """O-41, O-92: rows whose target was realized by every date, and the latest target end among them."""
-    return fo.realized_metadata(signals(spark, d), "rebal_date", "target_period_end", F.col("target_realized"))
+    return fo.realized_metadata(signals(spark, d, "target_period_end", "target_realized"), "rebal_date", "target_period_end", F.col("target_realized"))
 
 
 @query("SELECT * FROM panel WHERE rebal_date = (SELECT max(rebal_date) FROM panel)", "panel")
@@ -292,4 +300,4 @@ def o047_latest_slice(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT panel_id, asof_max_available_date, rebal_date FROM panel WHERE asof_max_available_date IS NULL OR asof_max_available_date <= rebal_date", "panel")
 def o038_leakage_guard(spark: SparkSession, d: str) -> DataFrame:
     """O-38: rows that use nothing from after their date; an unknown date counts as known."""
-    return pn.guard_known(panel(spark, d), "asof_max_available_date", "rebal_date").select("panel_id", "asof_max_available_date", "rebal_date")
+    return pn.guard_known(panel(spark, d, "asof_max_available_date"), "asof_max_available_date", "rebal_date").select("panel_id", "asof_max_available_date", "rebal_date")
