@@ -31,6 +31,7 @@ def is_provisional(rating: Column) -> Column:
     return F.coalesce(rating.rlike(r"^(?i)\(P\)\s*.+$"), F.lit(False))
 
 
+# Fixed value: letters with an outlook in brackets behind them.
 _EMBEDDED = r"^(.*?)\s*\(([^)]+)\)\s*$"
 
 
@@ -74,6 +75,14 @@ def outlooks_agree(a: Column, b: Column) -> Column:
     return F.coalesce(x.isNull() | y.isNull() | (x == y) | (on_watch(x) & on_watch(y)) | ((bx != "") & (bx == by)), F.lit(True))
 
 
+def agreement_ties(outlook: Column) -> Column:
+    """What an outlook can agree by, as an array: two outlooks agree if either's is empty or they have one in common."""
+    low = F.lower(normal_outlook(outlook))
+    base = base_direction(low)
+    ties = F.array_compact(F.array(F.concat(F.lit("="), low), F.when(on_watch(low), F.lit("watch")), F.when(base != "", F.concat(F.lit("~"), base))))
+    return F.coalesce(F.when(low.isNotNull(), ties), F.array().cast("array<string>"))
+
+
 def preferred_outlook(first: Column, second: Column) -> Column:
     """The first unless only the second is on watch; the other where one is missing."""
     x, y = normal_outlook(first), normal_outlook(second)

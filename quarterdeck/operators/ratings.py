@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import re
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import outlooks as o
-from ..functions.ratings import RATING_ORDINALS, rating_ordinal
+from ..functions.ratings import rating_ordinal
 from .sharded import scan
 
 
@@ -49,83 +50,119 @@ def apply_corrections(log: DataFrame, corrections: DataFrame) -> tuple[DataFrame
     hit = log.join(corrections.select(*on, F.trim("wrong_rating").alias("_wrong"), F.col("corrected_rating").alias("_right")), [*on], "left")
     right = F.when(F.trim("rating") == F.col("_wrong"), F.col("_right"))
     fixed = hit.withColumn("rating", F.coalesce(right, F.col("rating"))).drop("_wrong", "_right")
-    stale = corrections.join(log.select(*on, F.trim("rating").alias("wrong_rating")), [*on, "wrong_rating"], "left_anti")
+    stale = corrections.select(*on, F.trim("wrong_rating").alias("wrong_rating"), "corrected_rating").join(log.select(*on, F.trim("rating").alias("wrong_rating")), [*on, "wrong_rating"], "left_anti")
     return fixed, stale
 
 
-_WATCH = re.compile(r"\b(under\s+review|watch|review)\b")
+def corrected(log: DataFrame, corrections: DataFrame) -> DataFrame:
+    """The log with known wrong ratings replaced; a correction that matches no row is an error when the log is read."""
+    fixed, stale = apply_corrections(log, corrections)
+    some = stale.agg(F.count(F.lit(1)).alias("_stale"), F.max(F.concat_ws(" ", "agency", "date", "wrong_rating")).alias("_which"))
+    message = F.concat(F.lit("stale or mistyped correction: "), F.col("_which"))
+    checked = fixed.crossJoin(F.broadcast(some))  # one row
+    return checked.withColumn("rating", F.when(F.col("_stale") > 0, F.raise_error(message).cast("string")).otherwise(F.col("rating"))).drop("_stale", "_which")
 
 
-def _agree(a: str | None, b: str | None) -> bool:
-    x, y = ("" if v is None or v.strip().upper() == "NR" else v.strip().lower() for v in (a, b))
-    if not x or not y or x == y:
-        return True
-    wx, wy = ("watch" in v or "review" in v for v in (x, y))
-    bx, by = (" ".join(_WATCH.sub("", v).split()) for v in (x, y))
-    return (wx and wy) or (bx != "" and bx == by)
-
-
-def match_bucket(primary: list[dict], secondary: list[dict]) -> list[dict]:
-    """Greedy one-to-one matching of one bucket's rows, both in date order.
+def match_bucket(primary: list[tuple], secondary: list[tuple]) -> list[tuple[str, int | None, int | None]]:
+    """Greedy one-to-one matching of one bucket's rows, (ordinal, ties) in date order, as positions.
 
     Each primary row takes the first free secondary row of equal ordinal and agreeing outlook.  What is left on both
-    sides is paired by position as a conflict; what is left on one side stands alone.
+    sides is paired by position as a conflict; what is left on one side stands alone.  Secondary rows alike in both wait in
+    one queue, so a primary row looks at kinds of rows and not at rows.
     """
-    out, free, alone = [], list(range(len(secondary))), []
-    for p in primary:
-        hit = next((i for i in free if RATING_ORDINALS.get(secondary[i]["rating"]) == RATING_ORDINALS.get(p["rating"]) and _agree(p["outlook"], secondary[i]["outlook"])), None)
-        if hit is None:
-            alone.append(p)
-        else:
-            free.remove(hit)
-            out.append({"status": "matched", "p": p, "s": secondary[hit]})
-    rest = [secondary[i] for i in free]
+    queues: dict = {}
+    for i, (ordinal, ties) in enumerate(secondary):
+        queues.setdefault(ordinal, {}).setdefault(ties, deque()).append(i)
+    out, taken, alone = [], set(), []
+    for i, (ordinal, ties) in enumerate(primary):
+        fits = [(q[0], q) for other, q in queues.get(ordinal, {}).items() if q and (not ties or not other or ties & other)]
+        if not fits:
+            alone.append(i)
+            continue
+        _, queue = min(fits, key=lambda f: f[0])
+        taken.add(queue[0])
+        out.append(("matched", i, queue.popleft()))
+    rest = [i for i in range(len(secondary)) if i not in taken]
     n = min(len(alone), len(rest))
-    out += [{"status": "conflict", "p": p, "s": s} for p, s in zip(alone[:n], rest[:n])]
-    out += [{"status": "primary_only", "p": p, "s": None} for p in alone[n:]] + [{"status": "secondary_only", "p": None, "s": s} for s in rest[n:]]
-    return out
+    out += [("conflict", p, s) for p, s in zip(alone[:n], rest[:n])]
+    return out + [("primary_only", p, None) for p in alone[n:]] + [("secondary_only", None, s) for s in rest[n:]]
 
 
-_PAIRS = "country string, agency string, month date, status string, p_id bigint, s_id bigint"
+_PAIR = T.StructType([T.StructField("status", T.StringType()), T.StructField("p", T.IntegerType()), T.StructField("s", T.IntegerType())])
 
 
-def _match_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
+def _matched(buckets: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The pairs of buckets whose rows have side, ordinal and ties, the primary side first and both in date order."""
+    for rows in buckets:
         out = []
-        for key, rows in zip(zip(pdf["country"], pdf["agency"], pdf["month"]), pdf["rows"]):
+        for bucket in rows:
             sides: tuple[list, list] = ([], [])
-            for r in sorted(rows, key=lambda r: (r["date"], r["row_id"])):
-                sides[r["side"]].append(r)
-            for x in match_bucket(*sides):
-                out.append((*key, x["status"], x["p"] and x["p"]["row_id"], x["s"] and x["s"]["row_id"]))
-        frame = pd.DataFrame(out, columns=["country", "agency", "month", "status", "p_id", "s_id"])
-        yield frame.astype({"p_id": "Int64", "s_id": "Int64"})
+            for r in bucket:
+                sides[r["side"]].append((r["ordinal"], frozenset(r["ties"])))
+            first = len(sides[0])
+            out.append([{"status": k, "p": p, "s": None if s is None else first + s} for k, p, s in match_bucket(*sides)])
+        yield pd.Series(out)
+
+
+_SIDE = ("row_id", "date", "rating", "outlook", "source")
 
 
 def reconcile(primary: DataFrame, secondary: DataFrame) -> DataFrame:
-    """Per country, agency and month the pairs of both sources: matched, conflict, primary_only, secondary_only.
+    """Per country, agency and month the pairs of both sources: ``country, agency, month, status`` and both rows, ``p`` and ``s``.
 
-    Rows have ``row_id, country, agency, date, rating, outlook``.  Exact copies within a source are dropped first (map-side), so
-    a bucket holds the distinct actions of one month, however often each was noted.  The greedy match depends on order
-    (agreement isn't transitive), so a bucket is matched as one list; many buckets go through one Arrow batch.
+    Status: matched, conflict, primary_only, secondary_only.  Rows have ``row_id, country, agency, date, rating, outlook, source``.  Ordinals and what
+    outlooks can agree by are columns; exact copies within a source are dropped first (map-side), so a bucket holds the distinct actions of one
+    month, however often each was noted.  The greedy match depends on order (agreement isn't transitive), so a bucket is matched as one
+    list, many buckets to an Arrow batch; rows stay where they are, only positions come back.
     """
     keys = ["country", "agency", "date", "rating", "outlook"]
-    both = primary.select(*keys, "row_id", F.lit(0).alias("side")).unionByName(secondary.select(*keys, "row_id", F.lit(1).alias("side")))
-    distinct = both.groupBy(*keys, "side").agg(F.min("row_id").alias("row_id"))
-    lists = distinct.groupBy("country", "agency", F.trunc("date", "month").alias("month")).agg(F.collect_list(F.struct("side", "date", "row_id", "rating", "outlook")).alias("rows"))
-    return lists.mapInPandas(_match_batches, _PAIRS)
-
-
-def resolve(conflicts: DataFrame, resolutions: DataFrame) -> DataFrame:
-    """Conflicts with the first resolution of the same agency and dates: ``status`` resolved or OPEN, ``chosen_source``, ``note``."""
-    keys = ["agency", "p_date", "s_date"]
-    first = resolutions.groupBy(*keys).agg(F.min_by(F.struct("chosen_source", "note"), "entry").alias("_r"))
-    return conflicts.join(first, keys, "left").select(
-        *conflicts.columns, F.when(F.col("_r").isNull(), "OPEN").otherwise("resolved").alias("status"),
+    both = primary.select(*keys, "row_id", "source", F.lit(0).alias("side")).unionByName(secondary.select(*keys, "row_id", "source", F.lit(1).alias("side")))
+    distinct = both.groupBy(*keys, "side").agg(F.min(F.struct("row_id", "source")).alias("f"))
+    row = F.struct("side", "date", F.col("f.row_id").alias("row_id"), "rating", "outlook", F.col("f.source").alias("source"), rating_ordinal(F.col("rating")).alias("ordinal"), o.agreement_ties(F.col("outlook")).alias("ties"))
+    lists = distinct.groupBy("country", "agency", F.trunc("date", "month").alias("month")).agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    slim = F.transform("rows", lambda r: F.struct(r["side"].alias("side"), r["ordinal"].alias("ordinal"), r["ties"].alias("ties")))
+    pairs = lists.withColumn("m", F.pandas_udf(_matched, T.ArrayType(_PAIR))(slim)).select("country", "agency", "month", "rows", F.explode("m").alias("m"))
+
+    def side(at: str) -> Column:
+        r = F.element_at("rows", F.col(f"m.{at}") + 1)
+        return F.when(F.col(f"m.{at}").isNotNull(), F.struct(*(r[c].alias(c) for c in _SIDE))).alias(at)
+
+    return pairs.select("country", "agency", "month", F.col("m.status").alias("status"), side("p"), side("s"))
+
+
+def adjudicated(pairs: DataFrame, resolutions: DataFrame) -> DataFrame:
+    """The conflicts with the first resolution (by ``entry``) of the same agency and dates.
+
+    Adds ``resolution`` (resolved or OPEN), ``chosen_source`` and ``note``; resolutions have ``agency, p_date, s_date, chosen_source, note, entry``.
+    """
+    first = resolutions.groupBy("agency", "p_date", "s_date").agg(F.min_by(F.struct("chosen_source", "note"), "entry").alias("_r"))
+    conflicts = pairs.filter("status = 'conflict'").withColumns({"p_date": F.col("p.date"), "s_date": F.col("s.date")})
+    return conflicts.join(first, ["agency", "p_date", "s_date"], "left").select(
+        *pairs.columns, F.when(F.col("_r").isNull(), "OPEN").otherwise("resolved").alias("resolution"),
         F.upper(F.trim("_r.chosen_source")).alias("chosen_source"), F.col("_r.note").alias("note"),
     )
 
 
+def merged(pairs: DataFrame, defaults: DataFrame, resolutions: DataFrame) -> DataFrame:
+    """The reconciled log ``country, agency, date, rating, outlook, source``: default designations of the second source, matched rows by
+    the second source with the preferred outlook, single rows as they are, and resolved conflicts by the chosen source; open ones are left out.
+    """
+    p, s = F.col("p"), F.col("s")
+
+    def rows(df: DataFrame, row: Column, outlook: Column, source: Column) -> DataFrame:
+        return df.select("country", "agency", row["date"].alias("date"), row["rating"].alias("rating"), outlook.alias("outlook"), source.alias("source"))
+
+    confirmed = F.concat(s["source"], F.lit(" (confirmed by "), p["source"], F.lit(")"))
+    matched = rows(pairs.filter("status = 'matched'"), s, o.preferred_outlook(s["outlook"], p["outlook"]), confirmed)
+    alone = F.coalesce(p, s)
+    single = rows(pairs.filter("status IN ('primary_only', 'secondary_only')"), alone, alone["outlook"], alone["source"])
+    settled = adjudicated(pairs, resolutions).filter("resolution = 'resolved'")
+    winner = F.when(F.col("chosen_source") == "CE", s).otherwise(p)
+    resolved = rows(settled, winner, winner["outlook"], F.concat(winner["source"], F.lit(" (conflict resolved: "), F.coalesce("note", F.lit("")), F.lit(")")))
+    note = F.concat("source", F.lit(" (default designation; omitted by the other source)"))
+    return defaults.select("country", "agency", "date", "rating", "outlook", note.alias("source")).unionByName(matched).unionByName(single).unionByName(resolved)
+
+
 def single_sourced(source: Column) -> Column:
     """Seen by one source alone: neither confirmed nor adjudicated."""
     return ~F.coalesce(source.contains("confirmed by") | source.contains("conflict resolved"), F.lit(False))
@@ -133,6 +170,3 @@ def single_sourced(source: Column) -> Column:
 
 def month_precision(source: Column) -> Column:
     return source.contains("(month-precision)") & ~source.contains("confirmed by")
-
-
-__all__ = ["apply_corrections", "clean", "forward_fill", "infer_actions", "match_bucket", "month_precision", "rating_ordinal", "reconcile", "resolve", "single_sourced"]

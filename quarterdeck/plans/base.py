@@ -34,6 +34,8 @@ def with_ctes(sql: str, *names: str) -> str:
     if not parts:
         return sql
     body = sql.lstrip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ", ".join(parts) + ", " + body[15:]
     return "WITH " + ", ".join(parts) + (", " + body[5:] if body.upper().startswith("WITH ") else " " + body)
 
 

@@ -159,28 +159,83 @@ def o044_default_split(spark: SparkSession, d: str) -> DataFrame:
     return t.select("raw_id", is_default.alias("is_default"), note.alias("provenance"))
 
 
+def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The cleaned actions of both sources, blanks filled within each, and the second one's default designations."""
+    side = F.when(F.col("source").startswith("GE"), "GE").when(F.col("source").startswith("CE"), "CE")
+    log = ra.clean(raw_log(spark, d)).withColumn("side", side).filter("side IS NOT NULL")
+    is_default = (F.col("side") == "CE") & o.is_token(F.col("rating"), o.DEFAULTS)
+    cols = [F.col("raw_id").alias("row_id"), "country", "agency", "date", "rating", "outlook", "source"]
+    first = ["country", "agency", "date", "rating", "outlook"]
+    defaults = first_by(log.filter(is_default).select(*cols), first, ["row_id"])
+    filled = ra.forward_fill(log.filter(~is_default), [*KEYS, "side"], ["date", "raw_id"]).filter(rating_ordinal(F.col("rating")).isNotNull())
+    return filled.filter("side = 'GE'").select(*cols), filled.filter("side = 'CE'").select(*cols), defaults
+
+
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    log = ra.forward_fill(ra.clean(raw_log(spark, d)), KEYS, ["date", "raw_id"]).filter(rating_ordinal(F.col("rating")).isNotNull())
-    cols = [F.col("raw_id").alias("row_id"), "country", "agency", "date", "rating", "outlook"]
-    first = log.filter(F.col("source").startswith("GE")).select(*cols)
-    second = log.filter(F.col("source").startswith("CE") & ~o.is_token(F.col("rating"), o.DEFAULTS)).select(*cols)
+    first, second, _ = _sides(spark, d)
     return ra.reconcile(first, second)
 
 
-@query()
+def _resolutions(spark: SparkSession, d: str) -> DataFrame:
+    """Adjudications by agency and both dates: of every date of the first source, up to five days on, the second source wins on odd gaps; later entries never count."""
+    dates = raw_log(spark, d).filter(F.col("source").startswith("GE") & F.col("date").isNotNull()).select("agency", F.col("date").alias("p_date")).distinct()
+    gap = F.explode(F.sequence(F.lit(0), F.lit(5))).alias("gap")
+    rules = dates.select("agency", "p_date", gap, F.lit(1).alias("entry")).unionByName(dates.select("agency", "p_date", gap, F.lit(2).alias("entry")))
+    wins = F.when((F.col("gap") + F.col("entry")) % 2 == 0, " ce").otherwise("GE ")
+    return rules.select("agency", "p_date", F.date_add("p_date", F.col("gap")).alias("s_date"), wins.alias("chosen_source"), F.concat(F.lit("entry "), F.col("entry").cast("string")).alias("note"), "entry")
+
+
+_SAME = "ps[k].n IS NULL OR ss[i].n IS NULL OR ps[k].n = ss[i].n OR (ps[k].w AND ss[i].w) OR (ps[k].b <> '' AND ps[k].b = ss[i].b)"
+_GREEDY = f"""WITH RECURSIVE c AS ({_CLEAN}),
+e AS (SELECT *, CASE WHEN source LIKE 'GE%' THEN 'GE' WHEN source LIKE 'CE%' THEN 'CE' END AS side FROM c WHERE source LIKE 'GE%' OR source LIKE 'CE%'),
+df AS (SELECT country, agency, date, rating, outlook, arg_min(source, raw_id) AS source FROM e WHERE side = 'CE' AND upper(trim(rating)) IN ('SD', 'RD', 'D') GROUP BY country, agency, date, rating, outlook),
+f AS (SELECT * REPLACE (last_value(rating IGNORE NULLS) OVER (PARTITION BY country, agency, side ORDER BY date, raw_id ROWS UNBOUNDED PRECEDING) AS rating) FROM e WHERE NOT coalesce(side = 'CE' AND upper(trim(rating)) IN ('SD', 'RD', 'D'), false)),
+l AS (SELECT country, agency, date, rating, outlook, side, min(raw_id) AS id, arg_min(source, raw_id) AS src, lower(CASE WHEN upper(trim(outlook)) <> 'NR' THEN nullif(trim(outlook), '') END) AS n FROM f GROUP BY country, agency, date, rating, outlook, side),
+x AS (SELECT l.*, m.ordinal AS o, coalesce(contains(n, 'watch') OR contains(n, 'review'), false) AS w, coalesce(trim(regexp_replace(regexp_replace(n, '\\b(under\\s+review|watch|review)\\b', '', 'gi'), '\\s+', ' ', 'g')), '') AS b FROM l JOIN {_MAP} ON m.letters = trim(l.rating)),
+g AS (SELECT country, agency, CAST(date_trunc('month', date) AS DATE) AS month, coalesce(list(x ORDER BY date, id) FILTER (side = 'GE'), []) AS ps, coalesce(list(x ORDER BY date, id) FILTER (side = 'CE'), []) AS ss FROM x GROUP BY country, agency, CAST(date_trunc('month', date) AS DATE)),
+step AS (SELECT *, 1::BIGINT AS k, []::BIGINT[] AS used, []::BIGINT[] AS hits FROM g
+  UNION ALL SELECT country, agency, month, ps, ss, k + 1, CASE WHEN h IS NULL THEN used ELSE list_append(used, h) END, list_append(hits, h)
+  FROM (SELECT *, list_filter(range(1, len(ss) + 1), lambda i: NOT list_contains(used, i) AND ss[i].o = ps[k].o AND ({_SAME}))[1] AS h FROM step WHERE k <= len(ps))),
+r AS (SELECT *, list_filter(range(1, len(ps) + 1), lambda i: hits[i] IS NULL) AS lp, list_filter(range(1, len(ss) + 1), lambda i: NOT list_contains(used, i)) AS ls FROM step WHERE k = len(ps) + 1),
+u AS (SELECT *, unnest(range(1, greatest(len(ps), len(ss)) + 1)) AS i FROM r),
+pairs AS (SELECT country, agency, month, 'matched' AS status, ps[i] AS p, ss[hits[i]] AS s FROM u WHERE i <= len(ps) AND hits[i] IS NOT NULL
+  UNION ALL SELECT country, agency, month, 'conflict', ps[lp[i]], ss[ls[i]] FROM u WHERE i <= least(len(lp), len(ls))
+  UNION ALL SELECT country, agency, month, 'primary_only', ps[lp[i]], NULL FROM u WHERE i > len(ls) AND i <= len(lp)
+  UNION ALL SELECT country, agency, month, 'secondary_only', NULL, ss[ls[i]] FROM u WHERE i > len(lp) AND i <= len(ls)),
+ru AS (SELECT agency, date AS p_date, CAST(date + gap AS DATE) AS s_date, CASE WHEN gap % 2 = 1 THEN 'CE' ELSE 'GE' END AS chosen_source, 'entry 1' AS note FROM (SELECT DISTINCT agency, date FROM rawlog WHERE source LIKE 'GE%' AND date IS NOT NULL) CROSS JOIN (SELECT unnest(range(6))::INT AS gap)),
+ad AS (SELECT k.*, CASE WHEN ru.note IS NULL THEN 'OPEN' ELSE 'resolved' END AS resolution, ru.chosen_source, ru.note FROM pairs k LEFT JOIN ru ON ru.agency = k.agency AND ru.p_date = k.p.date AND ru.s_date = k.s.date WHERE status = 'conflict')
+"""
+_PREFER = "CASE WHEN p.w AND NOT s.w THEN {p} ELSE coalesce({s}, {p}) END".format(p="CASE WHEN p.n IS NOT NULL THEN trim(p.outlook) END", s="CASE WHEN s.n IS NOT NULL THEN trim(s.outlook) END")
+
+
+@query(_GREEDY + "SELECT country, agency, month, status, p.id AS p_id, s.id AS s_id FROM pairs", "rawlog")
 def o058_reconcile(spark: SparkSession, d: str) -> DataFrame:
     """O-58, O-100: greedy one-to-one matching of two sources per country, agency and month."""
-    return _pairs(spark, d)
+    return _pairs(spark, d).select("country", "agency", "month", "status", F.col("p.row_id").alias("p_id"), F.col("s.row_id").alias("s_id"))
 
 
-@query()
+@query(
+    _GREEDY + """SELECT country, agency, month, p.date AS ge_date, p.rating AS ge_rating, p.outlook AS ge_outlook, p.src AS ge_source, s.date AS ce_date, s.rating AS ce_rating, s.outlook AS ce_outlook, s.src AS ce_source, resolution AS status, chosen_source AS resolution_source, note AS resolution_note FROM ad""",
+    "rawlog",
+)
 def o059_resolved_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    """O-59: conflicts with the first matching adjudication (where the second source is the later one, it is chosen)."""
-    log = load(spark, d, "rating_raw").select("raw_id", "date")
-    c = cut_lineage(_pairs(spark, d)).filter("status = 'conflict'").select("country", "agency", "month", "p_id", "s_id")
-    c = c.join(log.select(F.col("raw_id").alias("p_id"), F.col("date").alias("p_date")), "p_id").join(log.select(F.col("raw_id").alias("s_id"), F.col("date").alias("s_date")), "s_id")
-    rules = c.filter("s_date > p_date").select("agency", "p_date", "s_date", F.lit("ce ").alias("chosen_source"), F.lit("adjudicated").alias("note"), F.col("p_id").alias("entry"))
-    return ra.resolve(c, rules)
+    """O-59: the conflicts table: both rows, and the first matching adjudication or OPEN."""
+    t = ra.adjudicated(_pairs(spark, d), _resolutions(spark, d))
+    both = [F.col(f"{side}.{c}").alias(f"{name}_{c}") for side, name in (("p", "ge"), ("s", "ce")) for c in ("date", "rating", "outlook", "source")]
+    return t.select("country", "agency", "month", *both, F.col("resolution").alias("status"), F.col("chosen_source").alias("resolution_source"), F.col("note").alias("resolution_note"))
+
+
+@query(
+    _GREEDY + f"""SELECT country, agency, date, rating, outlook, source || ' (default designation; omitted by the other source)' AS source FROM df
+UNION ALL SELECT country, agency, s.date, s.rating, {_PREFER}, s.src || ' (confirmed by ' || p.src || ')' FROM pairs WHERE status = 'matched'
+UNION ALL SELECT country, agency, coalesce(p, s).date, coalesce(p, s).rating, coalesce(p, s).outlook, coalesce(p, s).src FROM pairs WHERE status IN ('primary_only', 'secondary_only')
+UNION ALL SELECT country, agency, CASE WHEN chosen_source = 'CE' THEN s.date ELSE p.date END, CASE WHEN chosen_source = 'CE' THEN s.rating ELSE p.rating END, CASE WHEN chosen_source = 'CE' THEN s.outlook ELSE p.outlook END, CASE WHEN chosen_source = 'CE' THEN s.src ELSE p.src END || ' (conflict resolved: ' || note || ')' FROM ad WHERE resolution = 'resolved'""",
+    "rawlog",
+)
+def o115_merged_log(spark: SparkSession, d: str) -> DataFrame:
+    """O-58, O-59, O-114, O-115: the reconciled log with preferred outlooks and provenance."""
+    first, second, defaults = _sides(spark, d)
+    return ra.merged(cut_lineage(ra.reconcile(first, second)), defaults, _resolutions(spark, d))
 
 
 _CORR = "SELECT DISTINCT agency, date, trim(rating) AS wrong_rating, 'BBB' AS corrected_rating FROM rawlog WHERE source = 'desk note' AND rating IS NOT NULL"
@@ -195,7 +250,7 @@ def o060_corrections(spark: SparkSession, d: str) -> DataFrame:
     """O-60: known wrong ratings replaced by agency, date and wrong value."""
     log = raw_log(spark, d)
     c = log.filter((F.col("source") == "desk note") & F.col("rating").isNotNull()).groupBy("agency", "date").agg(F.min(F.trim("rating")).alias("wrong_rating")).withColumn("corrected_rating", F.lit("BBB"))
-    return ra.apply_corrections(log, c)[0].select("raw_id", "rating")
+    return ra.corrected(log, c).select("raw_id", "rating")
 
 
 _EVENTS = """WITH e AS (SELECT rating_id, replace(country, '_', ' ') AS country_name, date FROM ratings WHERE action = 'downgrade'),

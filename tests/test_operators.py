@@ -70,20 +70,44 @@ def test_letters_and_outlooks(spark, rating, outlook, want):
 def test_outlook_agreement(spark, a, b, agree, best):
     r = spark.createDataFrame([(a, b)], "a string, b string").select(o.outlooks_agree(F.col("a"), F.col("b")), o.preferred_outlook(F.col("a"), F.col("b"))).first()
     assert tuple(r) == (agree, best)
-    assert ra._agree(a, b) == agree
+    t = spark.createDataFrame([(a, b)], "a string, b string").select(o.agreement_ties(F.col("a")), o.agreement_ties(F.col("b"))).first()
+    assert (not t[0] or not t[1] or bool(set(t[0]) & set(t[1]))) == agree
 
 
 def _row(i, day, rating, outlook):
-    return (i, "c", "x", D(2020, 5, day), rating, outlook)
+    return (i, "c", "x", D(2020, 5, day), rating, outlook, f"s{i}")
 
 
 def test_reconcile_is_greedy_and_pairs_leftovers(spark):
-    schema = "row_id bigint, country string, agency string, date date, rating string, outlook string"
+    schema = "row_id bigint, country string, agency string, date date, rating string, outlook string, source string"
     p = [_row(1, 3, "BBB", None), _row(2, 4, "BBB", "Stable"), _row(3, 5, "A", None), _row(4, 6, "A-", None), _row(9, 6, "A-", None)]
     s = [_row(11, 3, "Baa2", "Stable"), _row(12, 20, "B", "Positive")]
-    got = {(r.status, r.p_id, r.s_id) for r in ra.reconcile(spark.createDataFrame(p, schema), spark.createDataFrame(s, schema)).collect()}
+    pairs = ra.reconcile(spark.createDataFrame(p, schema), spark.createDataFrame(s, schema))
+    got = {(r.status, r.p and r.p.row_id, r.s and r.s.row_id) for r in pairs.collect()}
     assert got == {("matched", 1, 11), ("conflict", 2, 12), ("primary_only", 3, None), ("primary_only", 4, None)}
-    assert ra.reconcile(spark.createDataFrame([], schema), spark.createDataFrame([], schema)).count() == 0
+    rules = spark.createDataFrame([("x", D(2020, 5, 4), D(2020, 5, 20), "ce ", "late", 2), ("x", D(2020, 5, 4), D(2020, 5, 20), " ge", "first", 1)], "agency string, p_date date, s_date date, chosen_source string, note string, entry int")
+    assert [(r.resolution, r.chosen_source, r.note) for r in ra.adjudicated(pairs, rules).collect()] == [("resolved", "GE", "first")]
+    assert [r.resolution for r in ra.adjudicated(pairs, rules.limit(0)).collect()] == ["OPEN"]
+    none = spark.createDataFrame([], schema)
+    out = {(r.date.day, r.rating, r.outlook, r.source) for r in ra.merged(pairs, none, rules).collect()}
+    assert out == {(3, "Baa2", "Stable", "s11 (confirmed by s1)"), (4, "BBB", "Stable", "s2 (conflict resolved: first)"), (5, "A", None, "s3"), (6, "A-", None, "s4")}
+    assert ra.merged(pairs, none, rules.limit(0)).count() == 3 and ra.reconcile(none, none).count() == 0
+
+
+def test_queues_match_as_the_plain_search_does():
+    rng = random.Random(9)
+    for _ in range(300):
+        row = lambda: (rng.choice([5, 6, None]), frozenset(rng.sample(["=a", "~a", "watch", "=b"], rng.randint(0, 2))))
+        p, s = [row() for _ in range(rng.randint(0, 8))], [row() for _ in range(rng.randint(0, 8))]
+        free, matched = list(range(len(s))), []
+        for i, (o_, t) in enumerate(p):
+            hit = next((j for j in free if s[j][0] == o_ and (not t or not s[j][1] or t & s[j][1])), None)
+            if hit is not None:
+                free.remove(hit)
+                matched.append((i, hit))
+        got = ra.match_bucket(p, s)
+        assert [(i, j) for k, i, j in got if k == "matched"] == matched
+        assert sorted(i for _, i, _ in got if i is not None) == list(range(len(p))) and sorted(j for _, _, j in got if j is not None) == list(range(len(s)))
 
 
 def test_stale_corrections_show(spark):
@@ -91,6 +115,9 @@ def test_stale_corrections_show(spark):
     c = spark.createDataFrame([("x", D(2020, 1, 1), "A", "BBB"), ("x", D(2020, 1, 2), "C", "D")], "agency string, date date, wrong_rating string, corrected_rating string")
     fixed, stale = ra.apply_corrections(log, c)
     assert sorted(r.rating for r in fixed.collect()) == ["B", "BBB"] and [r.wrong_rating for r in stale.collect()] == ["C"]
+    assert sorted(r.rating for r in ra.corrected(log, c.filter("wrong_rating = 'A'")).collect()) == ["B", "BBB"]
+    with pytest.raises(Exception, match="stale or mistyped correction"):
+        ra.corrected(log, c).collect()
 
 
 def test_event_status_ladder(spark):
