@@ -81,7 +81,7 @@ def t_test_greater(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return t.withColumn("t_stat", stat).select(*keys, "n", "mean", "t_stat", t_upper_tail(F.col("t_stat"), F.col("n") - 1).alias("p_value"))
 
 
-def kmeans_information(cost: Column, n: Column, k: Column, d: int) -> tuple[Column, Column]:
+def kmeans_information(cost: Column, n: Column, k: Column, d: int | Column) -> tuple[Column, Column]:
     """BIC and AIC of k-means as spherical Gaussians with one variance, ``cost / (n - k)``; infinite if it vanishes."""
     variance = cost / F.greatest(n - k, F.lit(1))
     log_likelihood = -0.5 * n * d * F.log(2 * 3.141592653589793 * variance) - 0.5 * (n - k) * d
@@ -91,6 +91,25 @@ def kmeans_information(cost: Column, n: Column, k: Column, d: int) -> tuple[Colu
     return bic, F.when(variance <= 0, inf).otherwise(-2 * log_likelihood + 2 * params)
 
 
+def within_cost(df: DataFrame, keys: list[str], label: str, features: list[str]) -> DataFrame:
+    """``keys, k, n, cost``: clusters, rows and sum of squared distances to the clusters' means; rows lacking a feature don't count.
+
+    From counts, means and variances per cluster: one map-side combined aggregation.
+    """
+    t = df.filter(sum((F.col(f).isNull().cast("int") for f in features), F.lit(0)) == 0)
+    parts = t.groupBy(*keys, label).agg(F.count(F.lit(1)).alias("n"), *(F.var_pop(f).alias(f"v_{f}") for f in features))
+    spread = sum((F.col(f"v_{f}") for f in features), F.lit(0.0)) * F.col("n")
+    return parts.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("k"), F.sum("n").alias("n"), F.sum(spread).alias("cost"))
+
+
+def noise(df: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """``keys, n, n_clusters_found, noise_frac`` of labels where -1 is noise; rows without a label don't count."""
+    has = F.col(label).isNotNull()
+    found = df.filter(has).groupBy(*keys, label).agg(F.count(F.lit(1)).alias("_n"))
+    quiet = F.col(label) >= 0
+    return found.groupBy(*keys).agg(F.sum("_n").alias("n"), F.sum(quiet.cast("int")).cast("int").alias("n_clusters_found"), (F.sum(F.when(~quiet, F.col("_n")).otherwise(0)) / F.sum("_n")).alias("noise_frac"))
+
+
 def linear_importance(df: DataFrame, features: list[str], weights: dict[str, float]) -> DataFrame:
     """``feature, coef, mean_abs_shap``: mean of |w (x - mean)| over all rows, the Shapley values of a linear model."""
     means = df.agg(*(F.avg(f).alias(f"_m_{f}") for f in features))

@@ -84,7 +84,7 @@ def scan(df: DataFrame, keys: list[str], order: list[Column], number: str | None
     )
 
 
-def share_of(number: Column, total: Column, parts: int) -> Column:
+def share_of(number: Column, total: Column, parts: int | Column) -> Column:
     """The part of ``parts`` parts of like size (the first ones larger) that the row of a number falls into, from 1."""
     small, larger = F.floor(total / parts), total % parts
     cut = larger * (small + 1)

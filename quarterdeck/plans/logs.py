@@ -13,9 +13,9 @@ from ..operators import ratings as ra
 from ..operators import selection as se
 from ..operators.pit import first_by
 from ..operators.sharded import scan, share_of
-from ..session import cut_lineage, load, shared_dir
+from ..session import cut_lineage, load, place
 from ..sources import files as fs
-from .base import daily, macro, panel, query, r6, ratings, raw_log, signals
+from .base import CTES, daily, macro, panel, query, r6, ratings, raw_log, signals
 
 ORDER = ["date", "rating_numeric", "rating_id"]
 KEYS = ["country", "agency"]
@@ -337,16 +337,22 @@ def o021_diagnostics(spark: SparkSession, d: str) -> DataFrame:
 )
 def o001_universe(spark: SparkSession, d: str) -> DataFrame:
     """O-01: the dimension of entities, one row per code."""
-    t = load(spark, d, "universe").select("iso3", "name", "iso2", "classification", "bond_ric", "cds_ric")
-    one = first_by(t, ["iso3"], ["name", "iso2", "classification", "bond_ric", "cds_ric"])
+    return _entities(load(spark, d, "universe"))
+
+
+def _entities(universe: DataFrame) -> DataFrame:
+    one = first_by(universe.select("iso3", "name", "iso2", "classification", "bond_ric", "cds_ric"), ["iso3"], ["name", "iso2", "classification", "bond_ric", "cds_ric"])
     c = F.upper(F.trim("classification"))
     return one.select("iso3", "name", F.when(c.isin("DM", "EM"), c).alias("classification"), "bond_ric")
 
 
-def _place(spark: SparkSession, name: str) -> str:
-    import uuid
-
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+@query(f"SELECT *, 'core' AS listing FROM ({CTES['entities']}) WHERE iso3 IS NOT NULL")
+def o001_universe_yaml(spark: SparkSession, d: str) -> DataFrame:
+    """O-01: the universe written as YAML, loaded from it, and reduced to one row per code."""
+    path = place(spark, "universe")
+    fs.write_universe_yaml(load(spark, d, "universe"), path)
+    loaded = fs.universe_yaml(spark, path)
+    return _entities(loaded).crossJoin(F.broadcast(loaded.agg(F.max("listing").alias("listing")))).filter("iso3 IS NOT NULL")  # one row
 
 
 _BOND = "SELECT country AS entity, date, mid_price, bid, zspread FROM daily WHERE mid_price IS NOT NULL"
@@ -354,28 +360,54 @@ _BOND = "SELECT country AS entity, date, mid_price, bid, zspread FROM daily WHER
 
 @query(_BOND, "daily")
 def o002_entity_csvs(spark: SparkSession, d: str) -> DataFrame:
-    """O-02, O-18, O-36: one CSV per entity written and scanned again, the entity from the folder's file names."""
-    path = _place(spark, "bonds")
-    t = daily(spark, d, "country", "mid_price", "bid", "zspread").filter("mid_price IS NOT NULL").select(F.translate("country", " ", "_").alias("entity"), "date", "mid_price", "bid", "zspread")
-    t.repartition("entity").write.partitionBy("entity").option("header", True).csv(path)
-    back = spark.read.schema("date date, mid_price double, bid double, zspread double, entity string").option("header", True).csv(path)
-    return back.select(F.translate("entity", "_", " ").alias("entity"), "date", "mid_price", "bid", "zspread")
+    """O-02, O-18, O-36: CSVs per entity written and scanned again by their headers, the entity from the files' places."""
+    path = place(spark, "bonds")
+    t = daily(spark, d, "country", "mid_price", "bid", "zspread").filter("mid_price IS NOT NULL").select("country", "date", "mid_price", "bid", "zspread")
+    fs.write_entity_csvs(t, "country", path)
+    return fs.entity_csvs(spark, path).select("entity", "date", "mid_price", "bid", "zspread")
 
 
 @query("SELECT country, series, period_date, available_date, value, source FROM macro ORDER BY country, series, period_date", "macro")
 def o003_macro_csv(spark: SparkSession, d: str) -> DataFrame:
     """O-03, O-18, O-94: tidy facts as CSV and back, sorted."""
-    back = fs.write_csv(macro(spark, d).select("country", "series", "period_date", "available_date", "value", "source"), _place(spark, "macro"))
+    back = fs.write_csv(macro(spark, d).select("country", "series", "period_date", "available_date", "value", "source"), place(spark, "macro"))
     return back.orderBy("country", "series", "period_date")
 
 
-@query("SELECT country, agency, date, rating, action FROM ratings WHERE agency IS NOT NULL", "ratings")
+@query("SELECT replace(country, '_', ' ') AS country, agency, date, rating, nullif(outlook, '') AS outlook, nullif(action, '') AS action, nullif(source, '') AS source FROM ratings WHERE agency IS NOT NULL", "ratings")
 def o004_ratings_folder(spark: SparkSession, d: str) -> DataFrame:
-    """O-04: a folder of rating files, partitioned by country, scanned as one table."""
-    path = _place(spark, "ratings")
-    t = ratings(spark, d).filter("agency IS NOT NULL").select("country", "agency", "date", "rating", "action")
-    t.repartition("country").write.partitionBy("country").option("header", True).csv(path)
-    return spark.read.schema("agency string, date date, rating string, action string, country string").option("header", True).csv(path).select("country", "agency", "date", "rating", "action")
+    """O-04: a folder of rating files per country, scanned as one table, the country from the files' places."""
+    path = place(spark, "ratings")
+    t = ratings(spark, d).filter("agency IS NOT NULL").select("country", *fs.RATING_COLUMNS)
+    fs.write_entity_csvs(t, "country", path)
+    return fs.ratings_folder(spark, path)
+
+
+_SHEET_SQL = "SELECT replace(country, '_', ' ') AS country, agency, rating, outlook, date, source, substr(source, 1, 2) AS sheet FROM rating_raw WHERE (source LIKE 'GE%' OR source LIKE 'CE%')"
+
+
+@query(
+    f"SELECT country, sheet, count(*) AS n, count(DISTINCT agency) AS n_agencies, count(nullif(rating, '')) AS n_rated, min(date) AS first_date, max(date) AS last_date FROM ({_SHEET_SQL}) GROUP BY country, sheet"
+)
+def o005_two_sheets(spark: SparkSession, d: str) -> DataFrame:
+    """O-05: a workbook per country with the two sources as sheets, written and scanned, a workbook to a task."""
+    path = place(spark, "books")
+    t = load(spark, d, "rating_raw").withColumn("sheet", F.substring("source", 1, 2)).filter("sheet IN ('GE', 'CE')")
+    t = t.select("country", "sheet", "agency", "rating", "outlook", F.col("date").cast("string").alias("date"), "source")
+
+    def book(pdf):
+        import pandas as pd
+
+        sheets = {s: pdf[pdf["sheet"] == s][["agency", "rating", "outlook", "date", "source"]] for s in ("GE", "CE")}
+        return pd.DataFrame({"country": [pdf["country"].iloc[0]], "book": [fs.write_workbook(sheets)]})
+
+    books = t.groupBy("country").applyInPandas(book, "country string, book binary")  # a spreadsheet is a unit of its format, and no larger than its rows
+    fs.write_binaries(books.withColumn("name", F.concat("country", F.lit(".xlsx"))), "name", "book", path)
+    first, second = fs.workbook_sheets(spark, path)
+    both = first.withColumn("sheet", F.lit("GE")).unionByName(second.withColumn("sheet", F.lit("CE")))
+    return both.groupBy("country", "sheet").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("agency").alias("n_agencies"), F.count(F.nullif("rating", F.lit(""))).alias("n_rated"), F.min("date").alias("first_date"), F.max("date").alias("last_date")
+    )
 
 
 @query("SELECT count(*) FILTER (source LIKE 'GE%') AS n_first, count(*) FILTER (source LIKE 'CE%') AS n_second FROM rating_raw")
@@ -384,7 +416,7 @@ def o005_two_sources(spark: SparkSession, d: str) -> DataFrame:
     t = load(spark, d, "rating_raw")
     paths = []
     for s in ("GE", "CE"):
-        paths.append(_place(spark, s) + ".parquet")
+        paths.append(place(spark, s) + ".parquet")
         fs.write_parquet(t.filter(F.col("source").startswith(s)), paths[-1])
     a, b = fs.two_sources(spark, *paths)
     return a.agg(F.count(F.lit(1)).alias("n_first")).crossJoin(b.agg(F.count(F.lit(1)).alias("n_second")))  # one row each
@@ -393,7 +425,7 @@ def o005_two_sources(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT * FROM panel ORDER BY country_code, rebal_date", "panel")
 def o006_parquet_sorted(spark: SparkSession, d: str) -> DataFrame:
     """O-06, O-17: Parquet written, read and sorted."""
-    return fs.write_parquet(panel(spark, d), _place(spark, "panel")).orderBy("country_code", "rebal_date")
+    return fs.write_parquet(panel(spark, d), place(spark, "panel")).orderBy("country_code", "rebal_date")
 
 
 @query("SELECT country AS iso3, series, year(period_date)::INT AS year, max(value) AS value FROM macro WHERE value IS NOT NULL AND source = 'world_bank' GROUP BY ALL", "macro")
@@ -415,11 +447,36 @@ def o011_weo(spark: SparkSession, d: str) -> DataFrame:
     return fs.flatten_weo(payloads)
 
 
-@query("SELECT date, mid_price AS value, CAST(date + 1 AS DATE) AS available_date FROM daily WHERE mid_price IS NOT NULL AND date BETWEEN DATE '2008-01-01' AND DATE '2020-12-31'", "daily")
+def _served(texts: DataFrame, path: str) -> DataFrame:
+    """Texts written one to a file, as the URLs behind which they can be fetched; the other columns stay beside them."""
+    keys = [c for c in texts.columns if c != "payload"]
+    fs.write_binaries(texts.select(F.concat(F.md5(F.concat_ws("|", *keys)), F.lit(".json")).alias("name"), F.col("payload").cast("binary").alias("content")), "name", "content", path)
+    return texts.select(*keys, F.concat(F.lit(path.rstrip("/") + "/"), F.md5(F.concat_ws("|", *keys)), F.lit(".json")).alias("url"))
+
+
+@query("SELECT country AS iso3, series, year(period_date)::INT AS year, max(value) AS value FROM macro WHERE value IS NOT NULL AND source = 'world_bank' GROUP BY ALL", "macro")
+def o007_fetched_payloads(spark: SparkSession, d: str) -> DataFrame:
+    """O-07, O-09, O-10: one request per country and series fetched by the executors with retries, cached, served from the cache, flattened."""
+    served = place(spark, "served")
+    if not served.startswith("file:"):
+        return o010_world_bank(spark, d)  # no server here: only files can be fetched
+    m = macro(spark, d).filter("source = 'world_bank'").groupBy("country", "series", F.year("period_date").alias("y")).agg(F.max("value").alias("value"))
+    rows = F.collect_list(F.struct(F.col("country").alias("countryiso3code"), F.col("y").cast("string").alias("date"), "value"))
+    texts = cut_lineage(m.groupBy("country", "series").agg(F.concat(F.lit('[{"page":1},'), F.to_json(rows), F.lit("]")).alias("payload")))
+    requests, cache = cut_lineage(_served(texts, served)), place(spark, "cache")
+    fs.cached_payloads(requests, cache)  # the first run fetches
+    return fs.flatten_world_bank(fs.cached_payloads(requests, cache, _unreachable).drop("url")).select("iso3", "series", "year", "value")
+
+
+def _unreachable(url: str) -> str:
+    raise OSError(f"not in the cache: {url}")
+
+
+@query("SELECT date, mid_price AS value, CAST(date + 1 AS DATE) AS available_date FROM daily WHERE mid_price IS NOT NULL AND date BETWEEN DATE '2005-01-01' AND DATE '2025-12-31'", "daily")
 def o012_fred(spark: SparkSession, d: str) -> DataFrame:
     """O-08, O-12, O-104: daily text series: range, numeric values only, known one day later."""
     t = daily(spark, d, "mid_price").select(F.col("date").cast("string").alias("date"), F.coalesce(F.col("mid_price").cast("string"), F.lit(".")).alias("value"))
-    return fs.fred_series(fs.write_csv(t, _place(spark, "fred")), "2008-01-01", "2020-12-31", 1)
+    return fs.fred_series(fs.write_csv(t, place(spark, "fred")), "2005-01-01", "2025-12-31", 1)
 
 
 @query("SELECT CAST(c AS DATE) AS chunk_start, least(CAST(c + INTERVAL 2 YEAR - INTERVAL 1 DAY AS DATE), DATE '2025-12-31') AS chunk_end, (SELECT count(*) FROM daily WHERE date BETWEEN CAST(c AS DATE) AND least(CAST(c + INTERVAL 2 YEAR - INTERVAL 1 DAY AS DATE), DATE '2025-12-31')) AS n FROM (SELECT unnest(generate_series(DATE '2005-01-01', DATE '2025-12-31', INTERVAL 2 YEAR)) AS c)", "daily")
@@ -434,14 +491,14 @@ def o013_chunks(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT 'none' AS agency, 0 AS n WHERE false")
 def o016_optional_input(spark: SparkSession, d: str) -> DataFrame:
     """O-15, O-16: an absent side input is an empty frame of its schema."""
-    t = fs.optional(spark, _place(spark, "absent") + "/resolutions.csv", "agency string, ge_date date, ce_date date, chosen_source string, note string")
+    t = fs.optional(spark, place(spark, "absent") + "/resolutions.csv", "agency string, ge_date date, ce_date date, chosen_source string, note string")
     return t.groupBy("agency").agg(F.count(F.lit(1)).cast("int").alias("n"))
 
 
 @query("SELECT ric, count(*) AS n FROM daily GROUP BY ric", "daily")
 def o019_write_once(spark: SparkSession, d: str) -> DataFrame:
     """O-19: written once; the second write changes nothing."""
-    path = _place(spark, "once")
+    path = place(spark, "once")
     t = daily(spark, d, "mid_price").groupBy("ric").agg(F.count(F.lit(1)).alias("n"))
     fs.write_once(t, path)
     return fs.write_once(t.withColumn("n", F.lit(-1).cast("bigint")), path)
@@ -450,7 +507,7 @@ def o019_write_once(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT reason, entity, item FROM (SELECT DISTINCT 'no readings' AS reason, name AS entity, 'bonds' AS item FROM universe WHERE name IS NOT NULL AND name NOT IN (SELECT country FROM market_daily WHERE country IS NOT NULL)) UNION ALL SELECT DISTINCT 'no period', country, series FROM macro_fact WHERE value IS NULL")
 def o020_issue_log(spark: SparkSession, d: str) -> DataFrame:
     """O-20: issues appended to a pipe-delimited log, twice, and read back."""
-    path = _place(spark, "issues")
+    path = place(spark, "issues")
     fs.log_issues(o101_missing_entities(spark, d).select(F.lit("no readings").alias("reason"), F.col("name").alias("entity"), F.lit("bonds").alias("item")), path)
     gaps = load(spark, d, "macro_fact").filter("value IS NULL").select(F.lit("no period").alias("reason"), F.col("country").alias("entity"), F.col("series").alias("item")).distinct()
     return fs.log_issues(gaps, path)

@@ -149,17 +149,25 @@ def o093_cluster_tiers(spark: SparkSession, d: str) -> DataFrame:
     return r.select("label", r6("proxy").alias("proxy"), "rank", tier.alias("tier"))
 
 
+_PAIR = ["yield_spread_bps", "debt_gdp"]
+
+
 @query(
-    """WITH s AS (SELECT k AS k_or_mcs, n, cost FROM (VALUES (2, 500, 900.0), (3, 500, 700.0), (4, 4, 1.0), (5, 100, 0.0)) v(k, n, cost)), v AS (SELECT *, cost / greatest(n - k_or_mcs, 1) AS q FROM s),
-    w AS (SELECT *, CASE WHEN q > 0 THEN -0.5 * n * 10 * ln(2 * pi() * q) - 0.5 * (n - k_or_mcs) * 10 END AS ll, k_or_mcs * 10 + 1 AS p FROM v)
-    SELECT k_or_mcs, CASE WHEN n <= k_or_mcs OR q <= 0 THEN NULL ELSE round(-2 * ll + p * ln(n), 4) END AS bic, CASE WHEN q <= 0 THEN NULL ELSE round(-2 * ll + 2 * p, 4) END AS aic FROM w"""
+    """WITH p AS (SELECT yield_spread_bps AS x, debt_gdp AS y, row_number() OVER (ORDER BY yield_spread_bps, panel_id) AS i, count(*) OVER () AS n FROM panel WHERE yield_spread_bps IS NOT NULL AND debt_gdp IS NOT NULL),
+    t AS (SELECT k, x, y, n, CASE WHEN i - 1 < (n % k) * (n // k + 1) THEN (i - 1) // (n // k + 1) ELSE n % k + (i - 1 - (n % k) * (n // k + 1)) // greatest(n // k, 1) END AS g FROM p CROSS JOIN (SELECT unnest(range(2, 9)) AS k)),
+    c AS (SELECT k, g, count(*) AS n, var_pop(x) * count(*) + var_pop(y) * count(*) AS cost FROM t GROUP BY k, g), s AS (SELECT k, sum(n) AS n, sum(cost) AS cost FROM c GROUP BY k),
+    w AS (SELECT *, cost / greatest(n - k, 1) AS q, k * 2 + 1 AS p FROM s), l AS (SELECT *, -0.5 * n * 2 * ln(2 * pi() * q) - 0.5 * (n - k) * 2 AS ll FROM w WHERE q > 0)
+    SELECT CAST(k AS INT) AS k_or_mcs, CAST(n AS BIGINT) AS n, round(cost, 2) AS cost, CASE WHEN n > k THEN round(-2 * ll + p * ln(n), 4) END AS bic, round(-2 * ll + 2 * p, 4) AS aic FROM l""",
+    "panel",
 )
 def o122_kmeans_information(spark: SparkSession, d: str) -> DataFrame:
-    """O-122: BIC and AIC of k-means from its cost (infinite shown as NULL)."""
-    s = spark.createDataFrame([(2, 500, 900.0), (3, 500, 700.0), (4, 4, 1.0), (5, 100, 0.0)], "k_or_mcs int, n int, cost double")
-    bic, aic = e.kmeans_information(F.col("cost"), F.col("n"), F.col("k_or_mcs"), 10)
+    """O-122: BIC and AIC of partitions of the panel into k = 2 to 8 groups, from their costs (infinite shown as NULL)."""
+    t = panel(spark, d, *_PAIR).filter("yield_spread_bps IS NOT NULL AND debt_gdp IS NOT NULL").select("panel_id", *_PAIR, F.lit(1).alias("all"))
+    t = sh.scan(t, ["all"], [F.col("yield_spread_bps"), F.col("panel_id")], "i", total="of").withColumn("parts", F.explode(F.sequence(F.lit(2), F.lit(8))))
+    s = e.within_cost(t.withColumn("label", sh.share_of(F.col("i"), F.col("of"), F.col("parts"))), ["parts"], "label", _PAIR)
+    bic, aic = e.kmeans_information(F.col("cost"), F.col("n"), F.col("parts"), 2)
     finite = [F.when(c != float("inf"), F.round(c, 4)) for c in (bic, aic)]
-    return s.select("k_or_mcs", finite[0].alias("bic"), finite[1].alias("aic"))
+    return s.select(F.col("parts").alias("k_or_mcs"), "n", F.round("cost", 2).alias("cost"), finite[0].alias("bic"), finite[1].alias("aic"))
 
 
 @query()
@@ -231,8 +239,14 @@ def o130_linear_importance(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("share_of_total", F.col("mean_abs_shap") / total.over(every)).withColumn("group_total", total.over(Window.partitionBy("group")))
 
 
-@query("SELECT tier, algorithm, k_or_mcs, round(1 - noise_frac, 6) AS clustered FROM stage1_algorithm_comparison WHERE n_clusters_found > 1")
+@query(
+    """WITH t AS (SELECT rebal_date, CASE WHEN debt_gdp IS NULL THEN -1 ELSE ntile(3) OVER (PARTITION BY rebal_date ORDER BY yield_spread_bps, country_code) END AS label FROM panel WHERE yield_spread_bps IS NOT NULL)
+    SELECT rebal_date, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT label) FILTER (label >= 0) AS INT) AS n_clusters_found, round(avg((label < 0)::INT), 6) AS noise_frac FROM t GROUP BY rebal_date""",
+    "panel",
+)
 def o128_noise(spark: SparkSession, d: str) -> DataFrame:
-    """O-128: share of rows that belong to a cluster, of trials that found several."""
-    t = load(spark, d, "stage1_algorithm_comparison").filter("n_clusters_found > 1")
-    return t.select("tier", "algorithm", "k_or_mcs", r6(1 - F.col("noise_frac")).alias("clustered"))
+    """O-128: groups found and share of noise per quarter, of labels computed here (thirds by spread; rows without a debt figure are noise)."""
+    t = panel(spark, d, "yield_spread_bps", "debt_gdp").filter("yield_spread_bps IS NOT NULL").select("rebal_date", "country_code", *_PAIR)
+    t = sh.scan(t, ["rebal_date"], [F.col("yield_spread_bps"), F.col("country_code")], "i", total="of")
+    label = F.when(F.col("debt_gdp").isNull(), -1).otherwise(sh.share_of(F.col("i"), F.col("of"), 3))
+    return e.noise(t.withColumn("label", label), ["rebal_date"], "label").withColumn("noise_frac", r6("noise_frac"))

@@ -16,23 +16,54 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{table}.parquet"))
 
 
+def _is_local(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset (as in
-    tests on one machine) a temporary folder is set and used.
+    A cluster names it in ``spark.checkpoint.dir``; only where that is unset on a single machine (as in tests) a temporary folder is set and
+    used, and removed at the end. On a cluster a missing setting is an error: executors don't share their own disks.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         java = spark.sparkContext._jsc.sc().getCheckpointDir()
         current = java.get() if java.isDefined() else None
     if not current:
-        current = "file://" + tempfile.mkdtemp(prefix="quarterdeck-")
+        if not _is_local(spark):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="quarterdeck-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        current = "file://" + folder
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(current)
     return current
 
 
+#: Tables written by this process, and the gateway through which they are removed when it ends.
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def _remove_written() -> None:
+    for spark, path in _WRITTEN:
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration()).delete(where, True)
+        except Exception:  # noqa: BLE001, S112 - the JVM may be gone; the folder's own clearing remains
+            continue
+
+
+def place(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there is removed when the driver's process ends."""
+    if not _WRITTEN:
+        atexit.register(_remove_written)
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder, so that a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)
@@ -41,7 +72,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a Parquet table in the shared folder, and read back."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = place(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -63,7 +94,7 @@ def ensure_importable(spark: SparkSession) -> None:
     if home in known or home in sc.environment.get("PYTHONPATH", "").split(os.pathsep):
         return
     sc.environment["PYTHONPATH"] = os.pathsep.join(p for p in (home, sc.environment.get("PYTHONPATH")) if p)
-    if not sc.master.startswith("local[") and sc.master != "local":
+    if not _is_local(spark):
         folder = tempfile.mkdtemp(prefix="quarterdeck-")  # of the driver; Spark serves the archive from there to the executors
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.addPyFile(shutil.make_archive(os.path.join(folder, "quarterdeck"), "zip", home, "quarterdeck"))

@@ -361,6 +361,42 @@ def test_files_round_trip(spark, tmp_path):
     assert fs.universe_frame(spark, fs.load_yaml(str(tmp_path / "u.yaml"))).first().iso3 == "AAA"
 
 
+def test_workbooks_yaml_and_hot_entities(spark, tmp_path):
+    import pandas as pd
+
+    sheet = pd.DataFrame({"Agency": ["x & y"], "Rating": ["<A>"], "Outlook": [None], "Date": ["43831"], "Source": ["GE"]})
+    book = fs.write_workbook({"GE": sheet, "CE": sheet.assign(Date="2020-02-01")})
+    assert fs.read_sheet(book, "GE") == [{"agency": "x & y", "rating": "<A>", "outlook": None, "date": "2020-01-01", "source": "GE"}]
+    with pytest.raises(ValueError, match="no sheet"):
+        fs.read_sheet(book, "XX")
+    (tmp_path / "books").mkdir()
+    (tmp_path / "books" / "New_Land.xlsx").write_bytes(book)
+    a, b = fs.workbook_sheets(spark, str(tmp_path / "books"))
+    assert [tuple(r) for r in b.collect()] == [("New Land", "x & y", "<A>", None, D(2020, 2, 1), "GE")] and a.first().date == D(2020, 1, 1)
+    (tmp_path / "books" / "Odd.xlsx").write_bytes(fs.write_workbook({"GE": sheet.drop(columns="Agency"), "CE": sheet}))
+    with pytest.raises(Exception, match="missing required columns"):
+        fs.workbook_sheets(spark, str(tmp_path / "books"))[0].collect()
+    e_ = spark.createDataFrame([("A: 'b'", None, "AAA", "DM", None, None), (None, "x", "BBB", None, None, None)], "name string, iso2 string, iso3 string, classification string, bond_ric string, cds_ric string")
+    fs.write_universe_yaml(e_, str(tmp_path / "u"))
+    assert {(r.name, r.iso2, r.iso3, r.listing) for r in fs.universe_yaml(spark, str(tmp_path / "u")).collect()} == {("A: 'b'", None, "AAA", "core"), (None, "x", "BBB", "core")}
+    hot = spark.createDataFrame([("hot land", D(2020, 1, 1), float(i)) for i in range(50)] + [("cold", D(2020, 1, 1), 0.0)], "c string, date date, mid_price double")
+    fs.write_entity_csvs(hot, "c", str(tmp_path / "hot"), 10)
+    assert len(list((tmp_path / "hot" / "entity=hot_land").glob("*.csv"))) > 1
+    assert sorted((r.entity, r.mid_price) for r in fs.entity_csvs(spark, str(tmp_path / "hot")).collect()) == sorted([("cold", 0.0), *(("hot land", float(i)) for i in range(50))])
+
+
+def test_payloads_are_fetched_once(spark, tmp_path):
+    (tmp_path / "a.json").write_text("one")
+    urls = spark.createDataFrame([(f"file://{tmp_path}/a.json", 1), (f"file://{tmp_path}/a.json", 2), (None, 3)], "url string, n int")
+    cache = str(tmp_path / "cache")
+    assert sorted((r.n, r.payload) for r in fs.cached_payloads(urls, cache).collect()) == [(1, "one"), (2, "one"), (3, None)]
+    (tmp_path / "a.json").write_text("two")
+    assert fs.cached_payloads(urls, cache).first().payload == "one"
+    assert {r.payload for r in fs.cached_payloads(urls, cache, refresh=True).collect()} == {"two", None}
+    with pytest.raises(Exception, match="No such file|not found|cannot find|OSError|URLError"):
+        fs.cached_payloads(spark.createDataFrame([(f"file://{tmp_path}/none",)], "url string"), cache, pause=0.0).collect()
+
+
 def test_retries_and_cache(tmp_path):
     calls, pauses = [], []
 
