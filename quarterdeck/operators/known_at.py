@@ -42,7 +42,7 @@ def _bucket_join(facts: pa.Table, keys: pa.Table) -> pa.Table:
     )
     if facts.num_rows == 0 or keys.num_rows == 0:
         return schema.empty_table()
-    con = duckdb.connect(config={"threads": 1, "memory_limit": "600MB"})
+    con = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})  # no spill to the worker's own disk: a bucket is bounded by its entities' calendars
     try:
         con.register("facts", facts)
         con.register("keys", keys)

@@ -488,6 +488,28 @@ def o013_chunks(spark: SparkSession, d: str) -> DataFrame:
     return hit.groupBy("chunk_start", "chunk_end").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"))
 
 
+_YEARS = 3
+
+
+@query(
+    "SELECT date, country AS instrument, round(avg(mid_price), 6) AS mid_price, round(avg(zspread), 6) AS zspread FROM daily WHERE country IN (SELECT country FROM daily WHERE country IS NOT NULL GROUP BY country ORDER BY country LIMIT 12) GROUP BY ALL HAVING avg(mid_price) IS NOT NULL OR avg(zspread) IS NOT NULL",
+    "daily",
+)
+def o013_history(spark: SparkSession, d: str) -> DataFrame:
+    """O-13: a wide vendor history of a request's instruments in overlapping chunks of dates, flattened, concatenated, of a date in two chunks the first kept.
+
+    A request names its instruments (here the first twelve issuers): a vendor's wide table has a column per field and instrument.
+    """
+    t = daily(spark, d, "country", "mid_price", "zspread").filter("country IS NOT NULL")
+    names = [r.country for r in t.select("country").distinct().orderBy("country").limit(12).collect()]  # the request
+    cells = t.groupBy("date").pivot("country", names).agg(F.avg("mid_price").alias("mid_price"), F.avg("zspread").alias("zspread"))
+    wide = cells.select("date", *(F.col(f"`{n}_{f}`").alias(f"{f}|{n}") for n in names for f in ("mid_price", "zspread")))
+    chunks = fs.date_chunks(spark, "2005-01-01", "2025-12-31", _YEARS).orderBy("chunk_start").collect()  # a row per chunk
+    parts = [wide.filter(F.col("date").between(F.date_sub(F.lit(c.chunk_start), 30), F.lit(c.chunk_end))) for c in chunks]
+    out = fs.concatenated([fs.flattened(p) for p in parts], ["date", "instrument"])
+    return out.withColumns({c: r6(c) for c in ("mid_price", "zspread")})
+
+
 @query("SELECT 'none' AS agency, 0 AS n WHERE false")
 def o016_optional_input(spark: SparkSession, d: str) -> DataFrame:
     """O-15, O-16: an absent side input is an empty frame of its schema."""

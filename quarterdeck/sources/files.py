@@ -338,6 +338,31 @@ def date_chunks(spark: SparkSession, first: str, last: str, years: int = 2) -> D
     )
 
 
+def flattened(history: DataFrame) -> DataFrame:
+    """A wide history, ``date`` and one column per (field, instrument) named ``<field>|<instrument>``, as long rows: ``date, instrument`` and a column per field.
+
+    An instrument's cells that are all NULL on a date give no row.
+    """
+    pairs = [(c, *c.split("|", 1)) for c in history.columns if "|" in c]
+    fields = list(dict.fromkeys(f for _, f, _ in pairs))
+    by_instrument: dict[str, dict[str, str]] = {}
+    for c, f, i in pairs:
+        by_instrument.setdefault(i, {})[f] = c
+    rows = [F.struct(F.lit(i).alias("instrument"), *((F.col(f"`{cs[f]}`") if f in cs else F.lit(None).cast("double")).alias(f) for f in fields)) for i, cs in by_instrument.items()]
+    long = history.select("date", F.explode(F.array(*rows)).alias("r")).select("date", "r.*")
+    return long.filter(F.coalesce(*fields).isNotNull()) if fields else long
+
+
+def concatenated(chunks: list[DataFrame], keys: list[str]) -> DataFrame:
+    """Chunks of a history one after another, by name with NULL for columns that a chunk lacks; of a key in several chunks the first one's row stays."""
+    out = None
+    for i, chunk in enumerate(chunks):
+        part = chunk.withColumn("_chunk", F.lit(i))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    rest = [c for c in out.columns if c not in (*keys, "_chunk")]
+    return out.groupBy(*keys).agg(*(F.min_by(c, "_chunk").alias(c) for c in rest))
+
+
 def write_parquet(df: DataFrame, path: str) -> DataFrame:
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -13,6 +13,7 @@ from quarterdeck.functions import outlooks as o
 from quarterdeck.functions.tdist import upper_tail
 from quarterdeck.operators import evaluation as e
 from quarterdeck.operators import events as ev
+from quarterdeck.operators import fits
 from quarterdeck.operators import models as mo
 from quarterdeck.operators import pit
 from quarterdeck.operators import quality as qu
@@ -314,6 +315,44 @@ def test_sweep_figures_are_of_all_rows(spark):
     assert got.cost["kmeans"] == pytest.approx(cost) and got.silhouette["kmeans"] == pytest.approx(L.silhouette(z, side))
 
 
+def test_mixtures_maximise_the_likelihood_of_all_rows(spark):
+    """Against the same algorithm in one array, and against the definition of a component's parameters."""
+    rng = np.random.default_rng(12)
+    x = np.vstack([rng.multivariate_normal([0, 0, 0], np.diag([1, 0.2, 0.5]), 700), rng.multivariate_normal([4, 4, 0], np.eye(3) * 0.6, 500)])
+    rows = fits.prepared(_wide(spark, x), ["a", "b", "c"], F.lit("1970-01-01").cast("date"), {"id": F.col("panel_id")})
+    job = fits.Job(0, 2)
+    fits.standards(rows, 3, [job])
+    fits.kmeans(rows, "id", 3, [job])
+    fits.mixtures(rows, 3, [job])
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    label, ll, _, _ = L.gaussian_mixture(z, 2)
+    mine = fits.log_density(z, job.parts).argmax(axis=1)
+    assert (mine == label).all() or (mine == 1 - label).all()
+    assert job.likelihood == pytest.approx(ll, rel=1e-4)
+    top = fits.log_density(z, job.parts)
+    assert job.likelihood <= np.log(np.exp(top).sum(axis=1)).sum() + 1e-6
+    own = [z[mine == g] for g in (0, 1)]
+    assert sorted(p[0] for p in job.parts) == pytest.approx(sorted(len(o_) / len(z) for o_ in own), abs=0.01)
+
+
+def test_silhouettes_by_blocks_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(mo, "QUERY_ROWS", 60)
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (250, 2))
+    one, two = rng.integers(0, 3, 250), np.where(rng.random(250) < 0.2, -1, rng.integers(0, 2, 250))
+    df = spark.createDataFrame([(i, *map(float, r), int(a), int(b)) for i, (r, a, b) in enumerate(zip(x, one, two))], "id bigint, x0 double, x1 double, one int, two int")
+    job = fits.Job(0, 0, 250, np.zeros(2), np.zeros(2), np.ones(2), np.ones(2, bool))
+    got = mo._silhouettes(df, 2, ["one", "two"], job)
+    assert got["one"] == pytest.approx(L.silhouette(x, one)) and got["two"] == pytest.approx(L.silhouette(x[two >= 0], two[two >= 0]))
+
+
+def test_chunks_of_a_wide_history(spark):
+    a = spark.createDataFrame([(D(2020, 1, 1), 1.0, None), (D(2020, 1, 2), 2.0, 5.0)], "date date, `p|X` double, `q|Y` double")
+    b = spark.createDataFrame([(D(2020, 1, 2), 9.0), (D(2020, 1, 3), 3.0)], "date date, `p|X` double")
+    got = {(r.date.day, r.instrument): (r.p, r.q) for r in fs.concatenated([fs.flattened(a), fs.flattened(b)], ["date", "instrument"]).collect()}
+    assert got == {(1, "X"): (1.0, None), (2, "X"): (2.0, None), (2, "Y"): (None, 5.0), (3, "X"): (3.0, None)}
+
+
 def test_blocks_of_distances_give_the_whole(monkeypatch):
     rng = np.random.default_rng(2)
     x = np.vstack([rng.normal(0, 0.3, (70, 2)), rng.normal(4, 0.3, (50, 2)), [[9.0, 9.0]]])
