@@ -209,21 +209,23 @@ def o145_scores(spark: SparkSession, d: str) -> DataFrame:
     return mo.score_panel(targets(spark, d), MODEL_FEATURES)
 
 
-def _compared(spark: SparkSession, d: str) -> DataFrame:
-    return cut_lineage(mo.walk_forward(targets(spark, d), MODEL_FEATURES))
+def compared(panel: DataFrame, features: list[str]) -> DataFrame:
+    """A row per framing and model, with or without folds: folds, pooled rows, mean information coefficient with its test, and area under the curve."""
+    p = cut_lineage(mo.walk_forward(panel, features))
+    ic = e.information_coefficient(p.filter("framing = 'regression'"), ["model", "rebal_date"], "predicted", "truth")
+    t = e.t_test_greater(ic, ["model"], "ic").select("model", F.col("n").alias("n_folds_with_ic"), F.col("mean").alias("mean_ic"), "t_stat", "p_value")
+    folds = p.groupBy("framing", "model").agg(F.countDistinct("rebal_date").alias("n_folds"), F.count(F.lit(1)).alias("n_pooled"))
+    auc = e.roc_auc(p.filter("framing = 'classification'"), ["model"], "truth", "predicted").select("model", "auc")
+    every = panel.sparkSession.createDataFrame([(f, m) for f, ms in mo.REGISTRY.items() for m in ms], "framing string, model string")
+    both = every.join(folds, ["framing", "model"], "left").na.fill(0, ["n_folds", "n_pooled"])
+    both = both.join(t.withColumn("framing", F.lit("regression")), ["framing", "model"], "left").join(auc.withColumn("framing", F.lit("classification")), ["framing", "model"], "left")
+    return both.withColumn("cleared", (F.col("mean_ic") > 0.05) & (F.col("p_value") < 0.05))
 
 
 @query()
 def o144_model_comparison(spark: SparkSession, d: str) -> DataFrame:
     """O-142, O-143, O-144, O-129: all models of both framings, walk-forward; folds counted with and without an IC."""
-    p = _compared(spark, d)
-    reg = p.filter("framing = 'regression'")
-    ic = cut_lineage(e.information_coefficient(reg, ["model", "rebal_date"], "predicted", "truth"))
-    t = e.t_test_greater(ic, ["model"], "ic").select("model", F.col("n").alias("n_folds_with_ic"), F.col("mean").alias("mean_ic"), "t_stat", "p_value")
-    folds = p.groupBy("framing", "model").agg(F.countDistinct("rebal_date").alias("n_folds"), F.count(F.lit(1)).alias("n_pooled"))
-    auc = e.roc_auc(p.filter("framing = 'classification'"), ["model"], "truth", "predicted").select("model", "auc")
-    both = folds.join(t.withColumn("framing", F.lit("regression")), ["framing", "model"], "left").join(auc.withColumn("framing", F.lit("classification")), ["framing", "model"], "left")
-    return both.withColumn("cleared", (F.col("mean_ic") > 0.05) & (F.col("p_value") < 0.05))
+    return compared(targets(spark, d), MODEL_FEATURES)
 
 
 @query()

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.dates import quarter_end
 from ..functions.numbers import any_missing, simple_return
 from ..operators import calendar as cal
-from ..operators import evaluation as e
 from ..operators import events as ev
 from ..operators import models as mo
 from ..operators import panel as pn
@@ -16,6 +15,7 @@ from ..operators import pit
 from ..session import cut_lineage, load
 from .base import QEND, daily, query, r6, ratings
 from .logs import o001_universe
+from .modelling import compared
 from .panels import _globals, bond_coverage, macro_wide
 
 # Coverage of the sensitivities that the extended tier asks of emerging issuers, and the model's features.
@@ -204,17 +204,6 @@ def horizon_panel(panel: DataFrame, prices: DataFrame, days: int) -> DataFrame:
     return pn.with_target(t.withColumn("excess_return", pn.excess_return(F.col("price_t"), F.col("price_then"), risk_free)))
 
 
-def compared(panel: DataFrame, features: list[str]) -> DataFrame:
-    """A row per framing and model: folds, pooled rows, mean information coefficient with its test, and area under the curve."""
-    p = cut_lineage(mo.walk_forward(panel, features))
-    ic = e.information_coefficient(p.filter("framing = 'regression'"), ["model", "rebal_date"], "predicted", "truth")
-    t = e.t_test_greater(ic, ["model"], "ic").select("model", F.col("n").alias("n_folds_with_ic"), F.col("mean").alias("mean_ic"), "t_stat", "p_value")
-    folds = p.groupBy("framing", "model").agg(F.countDistinct("rebal_date").alias("n_folds"), F.count(F.lit(1)).alias("n_pooled"))
-    auc = e.roc_auc(p.filter("framing = 'classification'"), ["model"], "truth", "predicted").select("model", "auc")
-    both = folds.join(t.withColumn("framing", F.lit("regression")), ["framing", "model"], "left").join(auc.withColumn("framing", F.lit("classification")), ["framing", "model"], "left")
-    return both.withColumn("cleared", (F.col("mean_ic") > 0.05) & (F.col("p_value") < 0.05))
-
-
 @query()
 def o146_horizon_comparison(spark: SparkSession, d: str) -> DataFrame:
     """O-144, O-146: the model comparison at three horizons, a row per horizon, framing and model; the quarterly target is reused as it is."""

@@ -46,7 +46,8 @@ def _scores(t):
 
 def _comparison(t, horizons=1):
     assert len(t) == 6 * horizons and set(t.framing) == {"regression", "classification"}
-    assert t[t.framing == "classification"].auc.between(0, 1).all() and t[t.framing == "regression"].mean_ic.between(-1, 1).all()
+    assert t.auc.dropna().between(0, 1).all() and t.mean_ic.dropna().between(-1, 1).all() and t[t.framing == "classification"].mean_ic.isna().all()
+    assert (t[t.framing == "regression"].n_pooled > 0).all()
     assert (t.n_folds_with_ic.dropna() <= t.n_folds[t.n_folds_with_ic.notna()]).all()
 
 
