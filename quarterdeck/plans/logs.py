@@ -395,14 +395,17 @@ def o005_two_sheets(spark: SparkSession, d: str) -> DataFrame:
     t = load(spark, d, "rating_raw").withColumn("sheet", F.substring("source", 1, 2)).filter("sheet IN ('GE', 'CE')")
     t = t.select("country", "sheet", "agency", "rating", "outlook", F.col("date").cast("string").alias("date"), "source")
 
-    def book(pdf):
+    def book(key, pdf):
         import pandas as pd
 
         sheets = {s: pdf[pdf["sheet"] == s][["agency", "rating", "outlook", "date", "source"]] for s in ("GE", "CE")}
-        return pd.DataFrame({"country": [pdf["country"].iloc[0]], "book": [fs.write_workbook(sheets)]})
+        return pd.DataFrame({"country": [key[0]], "part": [key[1]], "book": [fs.write_workbook(sheets)]})
 
-    books = t.groupBy("country").applyInPandas(book, "country string, book binary")  # a spreadsheet is a unit of its format, and no larger than its rows
-    fs.write_binaries(books.withColumn("name", F.concat("country", F.lit(".xlsx"))), "name", "book", path)
+    # A workbook is written in one piece, so a country of very many rows gets several, told apart behind a tilde.
+    largest = t.groupBy("country").count().agg(F.max("count")).first()[0] or 1
+    part = F.pmod(F.xxhash64(*t.columns), F.lit(-(-largest // fs.BOOK_ROWS))).alias("part")
+    books = t.groupBy("country", part).applyInPandas(book, "country string, part bigint, book binary")
+    fs.write_binaries(books.withColumn("name", F.concat("country", F.lit("~"), "part", F.lit(".xlsx"))), "name", "book", path)
     first, second = fs.workbook_sheets(spark, path)
     both = first.withColumn("sheet", F.lit("GE")).unionByName(second.withColumn("sheet", F.lit("CE")))
     return both.groupBy("country", "sheet").agg(
@@ -442,7 +445,8 @@ def o011_weo(spark: SparkSession, d: str) -> DataFrame:
     """O-07, O-11: nested maps indicator, code, year flattened; digit-only years within the range."""
     m = macro(spark, d).filter("source = 'imf_weo'").groupBy("series", "country", F.year("period_date").cast("string").alias("y")).agg(F.max("value").alias("v")).filter("v IS NOT NULL")
     codes = m.groupBy("series", "country").agg(F.map_from_entries(F.collect_list(F.struct("y", "v"))).alias("years"))
-    payloads = codes.groupBy("series").agg(F.map_from_entries(F.collect_list(F.struct("country", "years"))).alias("codes"))
+    # A payload holds a sixty-fourth of the countries: no cell grows with all of them.
+    payloads = codes.groupBy("series", F.pmod(F.xxhash64("country"), F.lit(64)).alias("block")).agg(F.map_from_entries(F.collect_list(F.struct("country", "years"))).alias("codes"))
     payloads = payloads.select(F.to_json(F.struct(F.create_map("series", "codes").alias("values"))).alias("payload"))
     return fs.flatten_weo(payloads)
 

@@ -160,6 +160,9 @@ def _checked(df: DataFrame, where: str) -> DataFrame:
     return df.withColumn("date", F.to_date("date"))
 
 
+#: Rows of a workbook that is written here.
+BOOK_ROWS = 200_000
+
 # Names in the spreadsheet format.
 _SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
@@ -222,7 +225,7 @@ def write_workbook(sheets: dict[str, pd.DataFrame]) -> bytes:
 
 
 def workbook_sheets(spark: SparkSession, path: str, first: str = "GE", second: str = "CE") -> tuple[DataFrame, DataFrame]:
-    """The two rating sheets of the workbooks of a folder (or of one), a workbook to a task; the country is the file's name. Required columns are checked."""
+    """The two rating sheets of the workbooks of a folder (or of one), a workbook to a task; the country is the file's name up to a tilde. Required columns are checked."""
     columns = ("agency", "rating", "outlook", "date", "source")
     books = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
 
@@ -233,7 +236,7 @@ def workbook_sheets(spark: SparkSession, path: str, first: str = "GE", second: s
                     rows = read_sheet(content, name)
                     if rows and (lacking := set(columns) - set(rows[0])):
                         raise ValueError(f"{file}, {name}: missing required columns {sorted(lacking)}")
-                    stem = os.path.basename(file).rsplit(".", 1)[0].replace("_", " ")
+                    stem = os.path.basename(file).rsplit(".", 1)[0].rsplit("~", 1)[0].replace("_", " ")
                     yield pd.DataFrame({"country": pd.Series([stem] * len(rows), dtype=object), **{c: pd.Series([r[c] for r in rows], dtype=object) for c in columns}})
 
         text = books.select("path", "content").mapInPandas(parse, "country string, " + ", ".join(f"{c} string" for c in columns))
