@@ -24,6 +24,8 @@ from ..session import cut_lineage
 #: Items to a block, and containers filled less than that are packed again.
 BLOCK_ITEMS = 4000
 WELL_FILLED = 0.985
+#: Capacities that may be asked for at once.
+MOST_CAPACITIES = 1_000
 
 
 def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -143,14 +145,17 @@ def pack(items: DataFrame, row_id: str, size: str, capacities: DataFrame, block_
     size 0; size 0 takes no room and joins the first container of its block.  Repeated rows are items of their own.
     Pieces count from 0.  Container ids are unique within a pack_id.
     """
-    caps = capacities.filter("capacity_tokens > 0").select(F.col("pack_id").cast("int"), F.col("capacity_tokens").cast("int").alias("capacity"))
+    caps = capacities.filter("capacity_tokens > 0").select(F.col("pack_id").cast("int"), F.col("capacity_tokens").cast("int")).limit(MOST_CAPACITIES + 1).collect()
+    if len(caps) > MOST_CAPACITIES:
+        raise ValueError(f"more than {MOST_CAPACITIES} capacities: they are parameters, not data")
     n = items.count() if n_rows is None else n_rows
     blocks = max(1, -(-n // block_items))
     rows = items.select(F.col(row_id).cast("bigint").alias("id"), F.greatest(F.coalesce(F.col(size).cast("int"), F.lit(0)), F.lit(0)).alias("n"))
     # Repeated rows are alike, so their copies are counted and numbered: a key that no partitioning can change.
     copies = rows.groupBy("id", "n").agg(F.count(F.lit(1)).alias("c")).select("id", "n", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("c"))).alias("copy"))
     rows = copies.withColumn("block", F.pmod(F.xxhash64("id", "copy", "n"), F.lit(blocks)))
-    per = rows.crossJoin(F.broadcast(caps))  # one row per item and capacity asked for
+    asked = F.array(*(F.struct(F.lit(p).cast("int").alias("pack_id"), F.lit(c).cast("int").alias("capacity")) for p, c in sorted(map(tuple, caps), key=str))).cast("array<struct<pack_id:int,capacity:int>>")
+    per = rows.select("*", F.explode(asked).alias("a")).select(*rows.columns, "a.*")  # one row per item and capacity asked for
     whole = F.when(F.col("n") > F.col("capacity"), F.floor(F.col("n") / F.col("capacity"))).otherwise(0).cast("int")
     per = per.withColumn("whole", whole).withColumn("rest", F.col("n") - F.col("whole") * F.col("capacity"))
     full = per.filter("whole > 0").select(
