@@ -19,7 +19,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOKENIZER_DIR = "/opt/tokenizers"
@@ -243,13 +244,27 @@ def _is_byte_level(path: str) -> bool:
     return t["model"].get("type") == "BPE" and not t.get("normalizer") and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
 
 
-@lru_cache(maxsize=4)
-def vocabulary(name: str, folder: str = TOKENIZER_DIR) -> ByteBPE | LibraryTokenizer:
-    """The tokenizer of that name, once per worker: byte-level BPE by speculation, any other by its library."""
-    for suffix in (".json", ".tiktoken", ".model"):
+SUFFIXES = (".json", ".tiktoken", ".model")
+
+
+def ship(spark: SparkSession, name: str, folder: str) -> None:
+    """Send a tokenizer's file along to the executors of other machines, which may not have the folder; the file stays where it is."""
+    if spark.sparkContext.master.startswith("local"):
+        return
+    for suffix in SUFFIXES:
         path = os.path.join(folder, name + suffix)
         if os.path.exists(path):
-            return ByteBPE(path) if suffix == ".json" and _is_byte_level(path) else LibraryTokenizer(path)
+            spark.sparkContext.addFile(path)
+            return
+
+
+@lru_cache(maxsize=4)
+def vocabulary(name: str, folder: str = TOKENIZER_DIR) -> ByteBPE | LibraryTokenizer:
+    """The tokenizer of that name, once per worker: byte-level BPE by speculation, any other by its library; from the folder, or as it was sent along."""
+    for suffix in SUFFIXES:
+        for path in (os.path.join(folder, name + suffix), SparkFiles.get(name + suffix) if SparkFiles._is_running_on_worker else None):
+            if path and os.path.exists(path):
+                return ByteBPE(path) if suffix == ".json" and _is_byte_level(path) else LibraryTokenizer(path)
     raise FileNotFoundError(f"no tokenizer {name} in {folder}")
 
 
@@ -268,6 +283,7 @@ def encode(df: DataFrame, row_id: str, text: str, tokenizer: str = "byte_bpe_50k
     special tokens in a text are ordinary text.  Repeated rows are encoded each.  Other columns are ignored.
     """
     kind = df.schema[row_id].dataType
+    ship(df.sparkSession, tokenizer, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, (flat, offsets) in _batches(batches, tokenizer, folder):
@@ -281,6 +297,7 @@ def encode(df: DataFrame, row_id: str, text: str, tokenizer: str = "byte_bpe_50k
 def token_counts(df: DataFrame, row_id: str, text: str, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> DataFrame:
     """``row_id, n_tokens``: 0 for empty and NULL texts."""
     kind = df.schema[row_id].dataType
+    ship(df.sparkSession, tokenizer, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, (_, offsets) in _batches(batches, tokenizer, folder):
