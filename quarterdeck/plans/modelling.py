@@ -67,11 +67,24 @@ def o125_ic_t_statistic(spark: SparkSession, d: str) -> DataFrame:
     return e.t_test_greater(ic, ["run_id"], "ic").select("run_id", "n", r6("mean").alias("mean"), F.round("t_stat", 4).alias("t_stat"))
 
 
-@query()
+def _p_sql(tests: str, key: str) -> str:
+    """One-sided p-values of ``tests`` (key, n, mean, t): Simpson's rule on Student's density from 0 to t, in 2,000 steps."""
+    return f"""g AS (SELECT x.*, i, t / 2000 AS h, n - 1.0 AS v, CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w FROM {tests} x CROSS JOIN (SELECT unnest(range(2001)) AS i)),
+    q AS (SELECT {key}, n, mean, t, 0.5 - sum(w * exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(v * pi()) * pow(1 + (i * h) * (i * h) / v, -(v + 1) / 2)) * any_value(h) / 3 AS p FROM g GROUP BY {key}, n, mean, t)"""
+
+
+_IC_T = "y AS (SELECT run_id, count(ic) AS n, avg(ic) AS mean, CASE WHEN count(ic) >= 2 AND stddev_samp(ic) > 0 THEN avg(ic) / (stddev_samp(ic) / sqrt(count(ic))) END AS t FROM i WHERE ic IS NOT NULL GROUP BY run_id)"
+
+
+@query(
+    _IC.rstrip() + f", {_IC_T}, {_p_sql('y', 'run_id')} SELECT run_id, n, round(mean, 6) AS mean, round(t, 4) AS t_stat, round(p, 6) AS p_value, mean > 0.05 AND p < 0.05 AS cleared FROM q",
+    "signals",
+)
 def o125_ic_t_test(spark: SparkSession, d: str) -> DataFrame:
     """O-125, O-129: the same with one-sided p (Student's t), and whether the bar of IC > 0.05 and p < 0.05 is cleared."""
     ic = e.information_coefficient(signals(spark, d, "excess_return"), ["run_id", "rebal_date"], "score", "excess_return")
-    return e.t_test_greater(ic, ["run_id"], "ic").withColumn("cleared", (F.col("mean") > 0.05) & (F.col("p_value") < 0.05))
+    t = e.t_test_greater(ic, ["run_id"], "ic").withColumn("cleared", (F.col("mean") > 0.05) & (F.col("p_value") < 0.05))
+    return t.withColumns({"mean": r6("mean"), "t_stat": F.round("t_stat", 4), "p_value": r6("p_value")})
 
 
 @query(
@@ -85,10 +98,14 @@ def o126_paired_tests(spark: SparkSession, d: str) -> DataFrame:
     return e.t_test_greater(w, ["country_name"], "diff").select("country_name", "n", r6("mean").alias("mean"), F.round("t_stat", 4).alias("t_stat")).join(share, "country_name")
 
 
-@query()
+_POOLED = "y AS (SELECT 'all' AS pool, count(*) AS n, avg(nm - bm) AS mean, CASE WHEN count(*) >= 2 AND stddev_samp(nm - bm) > 0 THEN avg(nm - bm) / (stddev_samp(nm - bm) / sqrt(count(*))) END AS t FROM t WHERE status = 'ok' HAVING count(*) > 0)"
+
+
+@query(_EVENTS.rstrip() + f", {_POOLED}, {_p_sql('y', 'pool')} SELECT pool, n, round(mean, 6) AS mean, round(t, 4) AS t_stat, round(p, 6) AS p_value FROM q", "ratings", "panel")
 def o126_pooled_test(spark: SparkSession, d: str) -> DataFrame:
     """O-126: the pooled test, with p; events of one country aren't independent."""
-    return e.t_test_greater(_windows(spark, d).filter("status = 'ok'").withColumn("pool", F.lit("all")), ["pool"], "diff")
+    t = e.t_test_greater(_windows(spark, d).filter("status = 'ok'").withColumn("pool", F.lit("all")), ["pool"], "diff")
+    return t.withColumns({"mean": r6("mean"), "t_stat": F.round("t_stat", 4), "p_value": r6("p_value")})
 
 
 @query(

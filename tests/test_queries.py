@@ -63,10 +63,6 @@ def _importance(t):
     assert abs(t.share_of_total.sum() - 1) < 1e-9 and (t.mean_abs_shap >= 0).all() and ((t.coef == 0) == (t.mean_abs_shap == 0)).all()
 
 
-def _t_test(t):
-    assert t.p_value.dropna().between(0, 1).all() and (t.p_value[t.t_stat > 0].dropna() <= 0.5).all()
-
-
 def _windows(t):
     ok = t[t.status == "ok"]
     assert t.rating_id.is_unique and ok["diff"].notna().all() and t[t.status != "ok"]["diff"].isna().all() and (ok.n_near_valid >= 2).all() and ok.near_mean.between(0, 1).all()
@@ -77,7 +73,7 @@ def _reasons(t):
 
 
 VALUES = {
-    "o125_ic_t_test": _t_test, "o126_pooled_test": _t_test, "o130_linear_importance": _importance, "o137_density_labels": _labels, "o139_mixture_labels": _labels, "o139_risk_labels": _risk_labels,
+    "o130_linear_importance": _importance, "o137_density_labels": _labels, "o139_mixture_labels": _labels, "o139_risk_labels": _risk_labels,
     "o144_model_comparison": _comparison, "o145_scores": _scores, "o145_return_scores": _scores, "o146_horizon_comparison": lambda t: _comparison(t, 3), "o147_cluster_sweep": _sweep, "o089_risk_score_windows": _windows,
     "o039_satellite_panel": lambda t: (t.dm_em_flag == "EM").all(), "p5_reasons": _reasons, "p5_found": lambda t: not t.duplicated().any(),
 }
