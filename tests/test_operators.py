@@ -449,3 +449,43 @@ def test_retries_and_cache(tmp_path):
     path = str(tmp_path / "c" / "x.json")
     assert fs.cached_payload(path, lambda: "one") == fs.cached_payload(path, lambda: "two") == "one"
     assert fs.cached_payload(path, lambda: "two", refresh=True) == "two"
+
+
+def test_model_operators_survive_empty_and_odd_panels(spark):
+    schema = "panel_id bigint, country_code string, rebal_date date, target_period_end date, a double, b double, c double, excess_return double, target_realized boolean, x0 string, known int"
+    odd = [
+        (1, "A", None, None, 1.0, 2.0, 3.0, 0.1, True, "clash", 0), (2, None, D(2020, 3, 31), D(2020, 6, 30), None, None, None, None, None, "clash", 0),
+        *((10 + i, f"e{i % 5}", D(2020, 3, 31), D(2020, 3, 31), float(i % 7), float("nan") if i % 3 else 1.0, None, 0.01 * (i % 4 - 1), True, "", 0) for i in range(60)),
+    ]
+    for rows in ([], odd):
+        p = spark.createDataFrame(rows, schema)
+        for algorithm in ("kmeans", "gmm", "hdbscan"):
+            t = mo.label_panel(p, ["a", "b", "c"], algorithm, k=2, proxy="a").toPandas()
+            assert len(t) == len(rows)
+            if rows:
+                assert (t[t.panel_id < 10].risk_label == "insufficient_data").all()
+        s = mo.score_panel(p, ["a", "b", "c"]).toPandas()
+        assert len(s) == len(rows) and (not rows or set(s[s.panel_id < 10].signal_status) == {"insufficient_data"} and (s[s.panel_id >= 10].signal_status == "scored").all())
+        registry = {"regression": {"lasso": None, "forest": lambda x, y: L.fit_forest(x, y, 3, 2)}}
+        w = mo.walk_forward(p, ["a", "b", "c"], registry=registry)
+        assert w.count() == (120 if rows else 0)
+        sweep = mo.cluster_sweep(p.select("panel_id", "a", "b", "c"), {"t": ["a", "b", "c"]}, range(2, 3), (0.05,), fraction=0.3)
+        assert sweep.count() == (3 if rows else 0)
+        z, weights = mo.fitted_lasso(p, "panel_id", ["a", "b", "c"], "excess_return")
+        assert z.count() == (61 if rows else 0) and set(weights) == {"a", "b", "c"}
+        n = sh.scan(p, ["country_code"], [F.col("rebal_date"), F.col("panel_id")], "n", {"was": F.col("a")}, {"last": F.col("b")}, "of", 5)
+        assert n.count() == len(rows) and n.filter("n > of").count() == 0
+        both = ra.reconcile(*(p.select(F.col("panel_id").alias("row_id"), F.col("country_code").alias("country"), F.lit(None).cast("string").alias("agency"), F.col("rebal_date").alias("date"), F.lit("A").alias("rating"), F.lit(None).cast("string").alias("outlook"), F.lit("s").alias("source")) for _ in range(2)))
+        assert both.filter("status <> 'matched'").count() == 0
+
+
+def test_lasso_of_covariances_is_the_lasso(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(3, 2, (400, 3))
+    x[rng.random(x.shape) < 0.1] = np.nan
+    y = np.nan_to_num(x[:, 0]) * 0.3 + rng.normal(0, 0.1, 400)
+    df = spark.createDataFrame([(i, *(None if np.isnan(v) else float(v) for v in r), float(t)) for i, (r, t) in enumerate(zip(x, y))], "i bigint, a double, b double, c double, y double")
+    z, w = mo.fitted_lasso(df, "i", ["a", "b", "c"], "y", 0.02)
+    t, _ = L.impute_scale(x, x[:0], keep_empty=True)
+    assert list(w.values()) == pytest.approx(L.lasso(t, y, 0.02)[0], abs=1e-6) and w["a"] > 0.3
+    assert z.orderBy("i").toPandas()[["a", "b", "c"]].to_numpy() == pytest.approx(t)
