@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import shuffle_width, written
+from ..session import cut_lineage, shuffle_width, written
 
 #: Rows of a key that one task may sort, and the estimated bytes of a whole input below which keys aren't even counted.
 PLAIN_ROWS, PLAIN_BYTES = 1_000_000, 64 << 20
@@ -32,6 +32,13 @@ def _hot(df: DataFrame, keys: list[str], most: int) -> bool:
     return largest_key(df, keys) > most
 
 
+def hot_keys(df: DataFrame, key: str, most: int = PLAIN_ROWS) -> DataFrame | None:
+    """The keys that hold more than ``most`` rows, None if there are none; small inputs aren't counted (see ``PLAIN_BYTES``)."""
+    if not _hot(df, [key], most):
+        return None
+    return cut_lineage(df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most).select(key))
+
+
 def ranged(df: DataFrame, keys: list[str], order: list[Column], range_rows: int) -> DataFrame:
     """``df`` written with ``_range``, the number of its range of (keys, order): numbers rise with the order, ranges are of like size."""
     many = max(shuffle_width(df.sparkSession), -(-df.count() // range_rows))
