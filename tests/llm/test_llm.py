@@ -275,6 +275,7 @@ def test_blocks_change_no_survivor(spark, block):
     trust = spark.createDataFrame([(s, f, rng.randint(1, 2)) for s in "AB" for f in ("rating", "outlook", "date")], TRUST)
     df = spark.createDataFrame(rows, RAW)
     assert survivors(df, trust, block).collect() == survivors(df, trust).collect()
+    assert survivors(df, trust, block, hot_rows=20).collect() == survivors(df, trust).collect()  # a hot group is reduced first
 
 
 def test_alignment_and_vote():
