@@ -371,6 +371,41 @@ def test_blocks_of_distances_give_the_whole(monkeypatch):
     assert sorted(e[0] for e in L._spanning_tree(x, parts[1] ** 2)) == pytest.approx(_tree_weights(np.maximum(d, np.maximum(parts[1][:, None], parts[1]))))
 
 
+@pytest.mark.parametrize("kind", ["plain", "apart", "ties", "far", "outliers", "scales"])
+def test_core_distances_and_tree_equal_brute_force(kind):
+    rng = np.random.default_rng(4)
+    for n, k in ((30, 9), (150, 12), (300, 25)):
+        x = rng.normal(size=(n, 3))
+        x = {
+            "plain": x, "apart": x + np.where(np.arange(n) < n // 3, 9, 0)[:, None], "ties": np.round(x), "far": x + 1e4,
+            "outliers": x * np.where(rng.random(n) < 0.1, 1e3, 1)[:, None], "scales": x * np.where(np.arange(n) < n // 2, 0.001, 1)[:, None],
+        }[kind]
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+        own = np.arange(1, n, 3)
+        core2, near = L.core_distances(x, [3, k])
+        part, _ = L.core_distances(x, [3, k], own)  # the share of a task
+        assert np.allclose(part, core2[own], rtol=1e-12) and np.allclose(np.sqrt(core2), np.sort(d, axis=1)[:, [2, k - 1]], rtol=1e-9, atol=1e-9)
+        core = np.sort(d, axis=1)[:, k - 1]
+        want = sorted(_tree_weights(np.maximum(d, np.maximum(core[:, None], core))))
+        for kept in (near, None):
+            assert sorted(e[0] for e in L._spanning_tree(x, core2[:, 1], kept)) == pytest.approx(want, rel=1e-9, abs=1e-7)
+
+
+def test_density_clusters_leave_most_pairs_in_single_precision(monkeypatch):
+    """Neither core distances nor the tree measure all pairs in double precision any more, and the clusters stay."""
+    rng = np.random.default_rng(6)
+    x, doubles, whole = np.vstack([rng.normal(m, 1, (1000, 6)) for m in (0, 9)]), [], L.squared_distances
+
+    def counted(a, to=None, *args):
+        doubles.append(len(a) * len(a if to is None else to))
+        return whole(a, to, *args)
+
+    monkeypatch.setattr(L, "squared_distances", counted)
+    label, core = L.density_clusters(x, 20)
+    assert sum(doubles) < 0.1 * len(x) ** 2
+    assert set(label[:1000]) & set(label[1000:]) <= {-1} and len(set(label[label >= 0])) >= 2 and (core > 0).all()
+
+
 def _tree_weights(d):
     """Weights of a minimum spanning tree, by joining the nearest pair of parts."""
     part, out = list(range(len(d))), []
