@@ -304,6 +304,17 @@ def test_ranges_change_no_scan(spark, most):
     assert all(r.p == r.q for r in parts)
 
 
+def test_density_sweep_shares_its_distances(spark):
+    """Every task takes a share of the rows, once for all sizes; labels are those of all pairs in one place."""
+    rng = np.random.default_rng(12)
+    x = np.vstack([rng.normal(m, 0.4, (n, 2)) for m, n in ((0, 140), (4, 90), (8, 30))])
+    rows = spark.createDataFrame([(5 * i, *map(float, r)) for i, r in enumerate(x)], "id bigint, x0 double, x1 double").repartition(3)
+    job = fits.Job(0, 0, len(x), np.zeros(2), np.zeros(2), np.ones(2), np.ones(2, bool))
+    got = mo._density_sweep(rows, 2, job, [10, 40]).toPandas().sort_values("id")
+    for name, least, groups in (("hd0", 10, 3), ("hd1", 40, 2)):
+        assert (got[name].to_numpy() == L.density_clusters(x, least)[0]).all() and got[got[name] >= 0][name].nunique() == groups
+
+
 def test_sweep_figures_are_of_all_rows(spark):
     rng = np.random.default_rng(8)
     x = np.vstack([rng.normal(m, 0.3, (n, 3)) for m, n in ((0, 1500), (5, 1500))])
