@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarterdeck.llm import queries as q
+from quarterdeck.llm import survivor
 from quarterdeck.llm.clusters import FeatureTree, Shape, _pairs, assign, cluster, dense_leaves, describe, group_leaves, ward
 from quarterdeck.llm.packing import best_fit_decreasing, fills, local_search, pack, pack_block
 from quarterdeck.llm.survivor import consensus, distance, merge_profiles, pick, profile, survivors, tokens
@@ -285,6 +286,29 @@ def test_alignment_and_vote():
     assert distance(["a", "b"], ["a", "c", "b"]) == 1 and distance([], ["x"]) == 1
 
 
+@pytest.mark.parametrize("hot_rows", [20, 1_000_000])
+def test_precedence_holds_no_election(spark, monkeypatch, hot_rows):
+    def none(*_):
+        raise AssertionError("an election that can't change the survivor")
+
+    monkeypatch.setattr(survivor, "_elect", none)
+    rng = random.Random(9)
+    ranks = {"A": 2, "B": 1, "C": 2}
+    rows = [
+        (i, f"c{rng.choice([0, 0, 0, 1, 2, 3])}", "a", rng.choice(["AA one", "BB two", "CC (x)", "NR", None]), rng.choice(["Stable", "Negative", None]), D(2020, 5, rng.randint(1, 3)), rng.choice("ABCZ"), dt.datetime(2020, 1, rng.randint(1, 3)), "", 0)
+        for i in range(60)
+    ]
+    trust = spark.createDataFrame([(s, f, r) for s, r in ranks.items() for f in ("rating", "outlook", "date")], TRUST)
+    out = survivors(spark.createDataFrame(rows, RAW), trust, hot_rows=hot_rows)
+    assert "InArrow" not in out._jdf.queryExecution().toString()
+    for r in out.collect():
+        mine = [x for x in rows if x[1] == r.country]
+        assert r.n_rows == len(mine) and r.group_id == min(x[0] for x in mine)
+        for field, at in (("rating", 3), ("outlook", 4), ("date", 5)):
+            order = sorted((ranks.get(x[6], 99), -x[7].timestamp(), x[0], x[at]) for x in mine if x[at] not in (None, "NR"))
+            assert (r[field], r[f"{field}_raw_id"]) == ((str(order[0][3]), order[0][2]) if order else (None, -1))
+
+
 def _vote_by_hand(values, notes):
     """Majority per token position of values of equally many tokens, then the value with the fewest differing tokens."""
     split = [tokens(v) for v in values]
