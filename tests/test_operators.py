@@ -402,6 +402,51 @@ def test_core_distances_and_tree_equal_brute_force(kind):
             assert sorted(e[0] for e in L._spanning_tree(x, core2[:, 1], kept)) == pytest.approx(want, rel=1e-9, abs=1e-7)
 
 
+@pytest.mark.parametrize("errors", [3.5, -20])  # with the usual bound, and with one so low that no distance is certain
+def test_windows_alike_share_a_look_at_all_pairs(monkeypatch, errors):
+    """Eight windows are served by few passes, and every window's core distances are those of its own medians and deviations."""
+    monkeypatch.setattr(L, "BOUND_ERRORS", errors)
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(900, 4)) * np.where(rng.random((900, 1)) < 0.02, 30, 1)
+    x[:, 2], x[:, 3] = np.repeat(rng.normal(size=9), 100), np.round(x[:, 3])
+    x[:, :2][rng.random((900, 2)) < 0.08] = np.nan
+    sizes, rows = list(range(200, 901, 100)), np.arange(1, 900, 7)
+    middle, _, sd = (np.array(v) for v in zip(*(L.standards(x[:n]) for n in sizes)))
+    groups = L.window_groups(sizes, sd, np.ones(sd.shape, bool))
+    assert sorted(t for g in groups for t in g) == list(range(8)) and len(groups) < 8
+    for g in ([0, 3, 7], *groups):
+        core2, near = L.nested_core_distances(x, [sizes[t] for t in g], [sizes[t] // 20 for t in g], middle[g], sd[g], rows[rows < sizes[g[-1]]])
+        for t, got in zip(g, core2.T):
+            n, own = sizes[t], rows[rows < sizes[t]]
+            z = L.impute_scale(x[:n], x[:1], keep_empty=False)[0]
+            d = ((z[own][:, None] - z[None]) ** 2).sum(axis=2)
+            assert np.allclose(got[: len(own)], np.sort(d, axis=1)[:, n // 20 - 1], rtol=1e-11, atol=1e-12) and np.isnan(got[len(own) :]).all()
+        assert np.allclose(np.sort(np.take_along_axis(d, near, axis=1), axis=1), np.sort(d, axis=1)[:, : near.shape[1]])
+
+
+def test_walk_forward_density_labels_are_those_of_every_window_alone(spark):
+    rng = np.random.default_rng(15)
+    x, day = np.vstack([rng.normal(np.tile([[0, 0, 0], [7, 7, 0]], (60, 1)), [0.5, 0.6, 1]) for _ in range(4)]), np.repeat(range(4), 120)
+    x[rng.random(x.shape) < 0.05] = np.nan
+    days = [D(2020, 3, 31), D(2020, 6, 30), D(2020, 9, 30), D(2020, 12, 31)]
+    panel = spark.createDataFrame([(i, "e", days[day[i]], *(None if v != v else float(v) for v in r)) for i, r in enumerate(x)], "panel_id bigint, country_code string, rebal_date date, a double, b double, c double")
+    got = mo.label_panel(panel, ["a", "b", "c"], "hdbscan", k=10, proxy="a").toPandas().sort_values("panel_id")
+    enough = (~np.isnan(x)).sum(axis=1) >= 2
+    for t, date in enumerate(days):
+        part, train, own = got[day == t], x[(day <= t) & enough], enough[day == t]
+        assert set(part.training_window_n_rows) == {len(train)} and (part.rebal_date == date).all()
+        if len(train) < 150:
+            assert set(part.risk_label) == {"insufficient_data"} and part.raw_cluster_label.isna().all()
+            continue
+        z, a = L.impute_scale(train, x[(day == t) & enough], keep_empty=False)
+        seen, core = L.density_clusters(z, max(10, round(0.01 * len(train))))
+        want = L.density_predict(z, seen, core, a)
+        assert set(part.risk_label[~own]) <= {"insufficient_data"} and len(set(want[want >= 0])) == 2
+        for g in set(part.raw_cluster_label[own]):
+            assert len(set(want[(part.raw_cluster_label[own] == g).to_numpy(bool)])) == 1  # numbers may change with ties
+        assert (part.raw_cluster_label[own].to_numpy(int) == -1).sum() == (want == -1).sum()
+
+
 def test_density_clusters_leave_most_pairs_in_single_precision(monkeypatch):
     """Neither core distances nor the tree measure all pairs in double precision any more, and the clusters stay."""
     rng = np.random.default_rng(6)
