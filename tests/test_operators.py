@@ -357,6 +357,21 @@ def test_silhouettes_by_blocks_are_exact(spark, monkeypatch):
     assert got["one"] == pytest.approx(L.silhouette(x, one)) and got["two"] == pytest.approx(L.silhouette(x[two >= 0], two[two >= 0]))
 
 
+def test_silhouettes_take_as_many_jobs_for_many_blocks_as_for_few(spark, monkeypatch):
+    monkeypatch.setattr(mo, "QUERY_ROWS", 6)
+    rng = np.random.default_rng(5)
+    x, label = rng.normal(0, 1, (240, 2)), rng.integers(0, 3, 240)
+    df = spark.createDataFrame([(i, *map(float, r), int(a)) for i, (r, a) in enumerate(zip(x, label))], "id bigint, x0 double, x1 double, one int")
+    job = fits.Job(0, 0, 240, np.zeros(2), np.zeros(2), np.ones(2), np.ones(2, bool))
+    spark.sparkContext.setJobGroup("silhouettes", "counted")
+    try:
+        got = mo._silhouettes(df, 2, ["one"], job)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("silhouettes")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got["one"] == pytest.approx(L.silhouette(x, label)) and len(jobs) < 20  # forty blocks
+
+
 def test_chunks_of_a_wide_history(spark):
     a = spark.createDataFrame([(D(2020, 1, 1), 1.0, None), (D(2020, 1, 2), 2.0, 5.0)], "date date, `p|X` double, `q|Y` double")
     b = spark.createDataFrame([(D(2020, 1, 2), 9.0), (D(2020, 1, 3), 3.0)], "date date, `p|X` double")
